@@ -70,7 +70,7 @@ def mean_pool(
     vectors: DataFrame,
     dim: int,
     max_vectors: int,
-    max_len: int | None = 512,
+    max_len: int | None = None,
     row_id: str = "row_id",
 ) -> DataFrame:
     """(row_id, vector): mean of the vectors of a text's tokens.
@@ -79,6 +79,8 @@ def mean_pool(
     numbers; it is broadcast when that bound is small enough. Tokens without a
     vector are left out of the mean, and a text with none has no row. The sums
     run as plain aggregates, one per dimension, combined before the shuffle.
+    ``max_len`` cuts texts to their first tokens, as an encoder would; by default
+    the whole text counts.
     """
     words = tokens(text)
     if max_len is not None:
@@ -88,9 +90,10 @@ def mean_pool(
         table = F.broadcast(table)
     found = df.select(row_id, F.explode(words).alias("token")).join(table, "token")
     sums = found.groupBy(row_id).agg(
-        *[F.avg(F.col("v")[i].cast("double")).alias(f"_{i}") for i in range(dim)]
+        F.count("*").alias("_n"),
+        *[F.sum(F.col("v")[i].cast("double")).alias(f"_{i}") for i in range(dim)],
     )
-    return sums.select(row_id, F.array(*[F.col(f"_{i}") for i in range(dim)]).alias("vector"))
+    return sums.select(row_id, F.array(*[F.col(f"_{i}") / F.col("_n") for i in range(dim)]).alias("vector"))
 
 
 def fit_text_features(df: DataFrame, text: str, size: int = 1 << 16) -> PipelineModel:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from labelaudit.functions import expressions as E
 from labelaudit.operators import assemble as A
 from labelaudit.plans import views as V
 from labelaudit.plans.registry import query, r6
-from labelaudit.sources.schemas import conform, conform_losses, normalize_columns
+from labelaudit.sources.schemas import conform, conform_losses, fields, normalize_columns
 from labelaudit.sources.tables import read_table
 
 
@@ -28,7 +28,7 @@ _TYPED = """typed AS (
               ELSE CAST(quality AS VARCHAR) END AS label,
          CASE WHEN doc_id % 12 = 0 THEN 'none' ELSE CAST(toxic AS VARCHAR) || '.25' END AS score
   FROM labels)"""
-_TYPED_SCHEMA = T.StructType.fromDDL("row_id BIGINT, label INT, score DOUBLE")
+_TYPED_SCHEMA = fields(row_id="bigint", label="int", score="double")
 
 
 def _typed(spark, sf):

@@ -9,6 +9,7 @@ from labelaudit.operators import confident as C, review as W, split as S
 from labelaudit.operators.assemble import exclude
 from labelaudit.plans import views as V
 from labelaudit.plans.registry import query, r6
+from labelaudit.sources.schemas import RAW_DECISIONS
 from labelaudit.streaming import decisions as D
 
 # --- splits -------------------------------------------------------------------------------
@@ -292,7 +293,7 @@ def review_stream(spark, sf):
     from labelaudit.session import scratch_path
 
     home = scratch_path(spark, "decisions")
-    V.raw_decisions(spark, sf).select(*D.RAW_DECISIONS.fieldNames()).write.parquet(f"{home}/inbox")
+    V.raw_decisions(spark, sf).select(*RAW_DECISIONS.fieldNames()).write.parquet(f"{home}/inbox")
     D.stream_decisions(
         spark, f"{home}/inbox", f"{home}/ledger", f"{home}/rejects", f"{home}/progress"
     ).awaitTermination()

@@ -6,18 +6,56 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-REVIEWED = T.StructType.fromDDL(
-    "text STRING, category STRING, given_label INT, suggested_label INT, "
-    "final_label INT, review_date TIMESTAMP, reviewer_notes STRING"
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "timestamp": T.TimestampType(),
+}
+
+
+def fields(**types: str) -> T.StructType:
+    """A schema from ``name="type"`` pairs; needs no running session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in types.items()])
+
+
+REVIEWED = fields(
+    text="string",
+    category="string",
+    given_label="int",
+    suggested_label="int",
+    final_label="int",
+    review_date="timestamp",
+    reviewer_notes="string",
+)
+RAW_DECISIONS = fields(
+    text="string",
+    category="string",
+    given_label="int",
+    suggested_label="int",
+    answer="string",
+    new_label="string",
+    reviewer_notes="string",
+    review_date="timestamp",
 )
-PREDICTIONS = T.StructType.fromDDL(
-    "text STRING, true_label INT, predicted_label INT, probability DOUBLE"
+PREDICTIONS = fields(
+    text="string", true_label="int", predicted_label="int", probability="double"
 )
-LOG_ENTRY = T.StructType.fromDDL(
-    "epoch DOUBLE, step BIGINT, loss DOUBLE, grad_norm DOUBLE, learning_rate DOUBLE, "
-    "eval_accuracy DOUBLE, eval_f1 DOUBLE, eval_loss DOUBLE, eval_precision DOUBLE, "
-    "eval_recall DOUBLE, eval_runtime DOUBLE, eval_samples_per_second DOUBLE, "
-    "eval_steps_per_second DOUBLE"
+LOG_ENTRY = fields(
+    epoch="double",
+    step="bigint",
+    loss="double",
+    grad_norm="double",
+    learning_rate="double",
+    eval_accuracy="double",
+    eval_f1="double",
+    eval_loss="double",
+    eval_precision="double",
+    eval_recall="double",
+    eval_runtime="double",
+    eval_samples_per_second="double",
+    eval_steps_per_second="double",
 )
 TRAINING_LOG = T.StructType(
     [

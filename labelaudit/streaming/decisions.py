@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from labelaudit.operators.review import conform_decisions
-from labelaudit.sources.schemas import REVIEWED
-
-RAW_DECISIONS = T.StructType.fromDDL(
-    "text STRING, category STRING, given_label INT, suggested_label INT, "
-    "answer STRING, new_label STRING, reviewer_notes STRING, review_date TIMESTAMP"
-)
-
+from labelaudit.sources.schemas import RAW_DECISIONS, REVIEWED
 
 def read_decisions(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     return (
