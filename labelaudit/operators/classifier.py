@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from labelaudit.operators.metrics import binary_metrics
 from labelaudit.operators.profile import class_weights
 from labelaudit.operators.split import fold_assignment
-from labelaudit.session import settle
+from labelaudit.session import store
 
 TRIAL_METRICS = ("f1", "accuracy", "precision", "recall")
 
@@ -102,7 +102,7 @@ def out_of_fold(
     with their fold and read by every fit.
     """
     rows = df.select(row_id, label, "features").where(F.col(label).isNotNull())
-    stored = settle(rows.join(fold_assignment(rows, k, seed, row_id), row_id), "folds")
+    stored = store(rows.join(fold_assignment(rows, k, seed, row_id), row_id), "folds")
     parts = []
     for fold in range(k):
         model = fit_classifier(stored.where(F.col("fold") != fold), label, weights, c)

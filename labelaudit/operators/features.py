@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelaudit.functions.expressions import text_or_empty
+from labelaudit.session import spread
 
 PAD, UNKNOWN, FIRST_ID = 0, 1, 2
 MAX_VOCABULARY = 1_000_000
@@ -26,7 +27,10 @@ def build_vocab(df: DataFrame, text: str, max_size: int) -> DataFrame:
     if not 0 < max_size <= MAX_VOCABULARY:
         raise ValueError(f"max_size must be in 1..{MAX_VOCABULARY}")
     counts = (
-        df.select(F.explode(tokens(text)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+        spread(df.select(text), text)
+        .select(F.explode(tokens(text)).alias("token"))
+        .groupBy("token")
+        .agg(F.count("*").alias("n"))
     )
     top = counts.orderBy(F.desc("n"), F.asc("token")).limit(max_size)
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), F.asc("token")))
@@ -41,7 +45,7 @@ def encode(
     Texts are cut before they are taken apart, so at most ``max_len`` small
     rows per text are shuffled. ``n_tokens`` counts the whole text.
     """
-    words = df.select(row_id, tokens(text).alias("_t"))
+    words = spread(df.select(row_id, text), row_id).select(row_id, tokens(text).alias("_t"))
     parts = words.select(
         row_id,
         F.size("_t").alias("n_tokens"),
@@ -88,7 +92,8 @@ def mean_pool(
     table = vectors.select("token", "v")
     if max_vectors * dim * 8 <= BROADCAST_BYTES:
         table = F.broadcast(table)
-    found = df.select(row_id, F.explode(words).alias("token")).join(table, "token")
+    texts = spread(df.select(row_id, text), row_id)
+    found = texts.select(row_id, F.explode(words).alias("token")).join(table, "token")
     sums = found.groupBy(row_id).agg(
         F.count("*").alias("_n"),
         *[F.sum(F.col("v")[i].cast("double")).alias(f"_{i}") for i in range(dim)],
@@ -107,11 +112,11 @@ def fit_text_features(df: DataFrame, text: str, size: int = 1 << 16) -> Pipeline
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="features", p=2.0),
     ]
-    return Pipeline(stages=stages).fit(df)
+    return Pipeline(stages=stages).fit(spread(df, text).withColumn(text, text_or_empty(text)))
 
 
 def text_features(df: DataFrame, model: PipelineModel, text: str) -> DataFrame:
-    ready = df.withColumn(text, text_or_empty(text))
+    ready = spread(df, text).withColumn(text, text_or_empty(text))
     return model.transform(ready).drop("_words", "_tf", "_idf")
 
 
@@ -120,6 +125,6 @@ def fit_word_vectors(df: DataFrame, text: str, dim: int = 64, seed: int = 42, mi
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
-    words = df.select(tokens(text).alias("_w"))
+    words = spread(df.select(text), text).select(tokens(text).alias("_w"))
     model = Word2Vec(vectorSize=dim, seed=seed, minCount=min_count, inputCol="_w", outputCol="_o").fit(words)
     return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("v"))

@@ -45,8 +45,7 @@ def running_totals(
         sliced = df.withColumn(_SLICE, slice_by)
     else:
         sliced = settle(
-            df.repartitionByRange(*keys, *order).withColumn(_SLICE, F.spark_partition_id()),
-            "ordered",
+            df.repartitionByRange(*keys, *order).withColumn(_SLICE, F.spark_partition_id())
         )
     local = Window.partitionBy(*by, _SLICE).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow

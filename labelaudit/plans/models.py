@@ -13,7 +13,7 @@ from labelaudit.operators.split import stratified_split
 from labelaudit.plans import views as V
 from labelaudit.plans.registry import query, r6
 from labelaudit.plans.vectors import _doc_vectors
-from labelaudit.session import settle
+from labelaudit.session import store
 from labelaudit.sources.tables import read_table
 
 
@@ -31,7 +31,7 @@ def _text_rows(spark, sf) -> tuple[DataFrame, object]:
         F.col("doc_id").alias("row_id"), F.col("text").alias("content"), F.col("quality").alias("label")
     )
     model = X.fit_text_features(docs, "content", 1 << 12)
-    return settle(X.text_features(docs, model, "content").drop("content"), "features"), model
+    return store(X.text_features(docs, model, "content").drop("content"), "features"), model
 
 
 @query("text_features")
@@ -60,14 +60,14 @@ def oof_scores(spark, sf):
 @query("oof_label_issues")
 def oof_label_issues(spark, sf):
     """Out-of-fold scores handed to confident learning."""
-    scored = settle(L.out_of_fold(_vector_rows(spark, sf)), "oof")
+    scored = store(L.out_of_fold(_vector_rows(spark, sf)), "oof")
     out = C.label_issues(scored)
     return out.select("row_id", "given_label", "suggested_label", F.round("label_score", 3).alias("label_score"), "is_label_issue")
 
 
 def _halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = stratified_split(rows, frac=0.2).select("row_id", "split")
-    stored = settle(rows.join(parts, "row_id"), "halves")
+    stored = store(rows.join(parts, "row_id"), "halves")
     return stored.where("split = 'train'"), stored.where("split = 'val'")
 
 
@@ -111,7 +111,7 @@ def external_report(spark, sf):
 @query("cluster_performance")
 def cluster_performance(spark, sf):
     """Mean self-confidence per k-means cluster of the document vectors."""
-    vectors = settle(_doc_vectors(spark, sf).join(V.scores(spark, sf), "row_id"), "clusters")
+    vectors = store(_doc_vectors(spark, sf).join(V.scores(spark, sf), "row_id"), "clusters")
     out = C.group_performance(C.cluster_groups(vectors, "vector", 5), "cluster")
     return out.select("cluster", "n", r6("mean_score"), r6("relative"))
 
@@ -119,12 +119,12 @@ def cluster_performance(spark, sf):
 def correction_rates(spark, sf) -> DataFrame:
     """The whole chain: assemble, score, flag, review, correct; positive share per category."""
     corpus = V.corpus(spark, sf).select("row_id", "content", "term", "ingroup", "label", "n_chars")
-    assembled = settle(assemble_and_dedupe([corpus]), "assembled")
+    assembled = store(assemble_and_dedupe([corpus]), "assembled")
     flagged = C.suspects(V.scores(spark, sf))
     texts = assembled.select("row_id", F.col("content").alias("text"))
-    suspects = settle(flagged.join(texts, "row_id"), "suspects")
+    suspects = store(flagged.join(texts, "row_id"), "suspects")
     near = N.near_duplicates(N.knn(_doc_vectors(spark, sf), "vector", 10)).where("is_near_duplicate")
-    copies = settle(near.select("row_id").join(texts, "row_id"), "copies")
+    copies = store(near.select("row_id").join(texts, "row_id"), "copies")
     corrected = W.corrected_corpus(assembled, V.reviewed(spark, sf), suspects, copies)
     before = positive_rate(assembled, by=["term"]).withColumnRenamed("positive_rate", "rate_before")
     after = positive_rate(corrected, by=["term"]).withColumnRenamed("positive_rate", "rate_after")

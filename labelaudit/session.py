@@ -37,14 +37,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+def settle(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once, into the shared folder, and go on from there.
 
-    Cuts the lineage, fixes values that are not repeatable across runs of a plan
-    (partition numbers), and lets later readers prune columns. A lost executor
-    costs a re-read, not a recomputation.
+    Cuts the lineage and fixes values that are not repeatable across runs of a
+    plan, such as partition numbers. A lost executor costs a re-read. Meant for
+    narrow rows, all of whose columns are used afterwards.
     """
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Like :func:`settle` for wide rows: as Parquet, so later readers prune columns."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table that arrives in fewer pieces than there are cores.
+
+    Meant for work that is heavy per row, such as taking texts apart. A large
+    table has more splits than the cluster has cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
