@@ -84,7 +84,7 @@ def ranked(
 
 def shuffled_rank(df: DataFrame, by: Sequence[str], key: str, name: str = "rank") -> DataFrame:
     """Rank by a column of uniform hex text; its first digits are the slices."""
-    return ranked(df, by, [key], slice_by=F.substring(F.col(key), 1, 3), name=name)
+    return ranked(df, by, [key], slice_by=F.substring(F.col(key), 1, 4), name=name)
 
 
 def exact_quantiles(

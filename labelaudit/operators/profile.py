@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelaudit.operators.ordering import exact_quantiles
+from labelaudit.session import small
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -174,7 +175,7 @@ def box_stats(df: DataFrame, by: str, value: str, whisker: float = 1.5) -> DataF
     inside = v.between(F.col("q25") - reach, F.col("q75") + reach)
     present = df.select(by, value).where(F.col(value).isNotNull() & ~F.isnan(v))
     return (
-        present.join(quartiles, by)
+        present.join(small(quartiles), by)
         .groupBy(by, "q25", "q50", "q75")
         .agg(
             F.min(F.when(inside, v)).alias("whisker_low"),

@@ -12,7 +12,7 @@ from labelaudit.operators.profile import class_weights, positive_rate
 from labelaudit.operators.split import stratified_split
 from labelaudit.plans import views as V
 from labelaudit.plans.registry import query, r6
-from labelaudit.plans.vectors import _doc_vectors
+from labelaudit.plans.vectors import _doc_knn, _doc_vectors
 from labelaudit.session import store
 from labelaudit.sources.tables import read_table
 
@@ -123,7 +123,7 @@ def correction_rates(spark, sf) -> DataFrame:
     flagged = C.suspects(V.scores(spark, sf))
     texts = assembled.select("row_id", F.col("content").alias("text"))
     suspects = store(flagged.join(texts, "row_id"), "suspects")
-    near = N.near_duplicates(N.knn(_doc_vectors(spark, sf), "vector", 10)).where("is_near_duplicate")
+    near = N.near_duplicates(_doc_knn(spark, sf)).where("is_near_duplicate")
     copies = store(near.select("row_id").join(texts, "row_id"), "copies")
     corrected = W.corrected_corpus(assembled, V.reviewed(spark, sf), suspects, copies)
     before = positive_rate(assembled, by=["term"]).withColumnRenamed("positive_rate", "rate_before")

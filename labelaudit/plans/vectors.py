@@ -11,6 +11,7 @@ from labelaudit.operators.profile import null_profile
 from labelaudit.plans import views as V
 from labelaudit.plans.registry import query, r6
 from labelaudit.plans.reviews import _FLAGGED, _JOINT, _RATES
+from labelaudit.session import store
 from labelaudit.sources.tables import read_table
 
 # --- tokens -----------------------------------------------------------------------------------
@@ -74,6 +75,11 @@ def _doc_vectors(spark, sf) -> DataFrame:
     return X.mean_pool(docs, "content", vectors, _DIM, _VECTORS)
 
 
+def _doc_knn(spark, sf) -> DataFrame:
+    # stored, as the search reads its input several times
+    return N.knn(store(_doc_vectors(spark, sf), "document-vectors"), "vector", 10)
+
+
 @query("mean_pool", _WORDS, _vocab_sql(_VECTORS), _POOLED,
        "SELECT row_id, CAST(d - 1 AS INTEGER) AS dim, round(x, 6) AS x FROM dims")
 def mean_pool(spark, sf):
@@ -156,7 +162,7 @@ _PACKED = """packed AS (SELECT row_id, list(x ORDER BY d) AS v FROM dims GROUP B
 @query("near_dup_text", _WORDS, _vocab_sql(_VECTORS), _POOLED, _PACKED, _knn_sql("packed"), _near_sql(0.13), _NEAR_OUT)
 def near_dup_text(spark, sf):
     """Near copies among texts: mean-pooled vectors, the usual radius, every document."""
-    return _near_out(N.near_duplicates(N.knn(_doc_vectors(spark, sf), "vector", 10)))
+    return _near_out(N.near_duplicates(_doc_knn(spark, sf)))
 
 
 _OUTLIERS = """means AS (SELECT row_id, avg(distance) AS m FROM knn GROUP BY row_id)"""

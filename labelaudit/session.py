@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -56,6 +56,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """Mark ``df`` for broadcast when it has at most ``limit`` rows, counted here."""
+    kept = settle(df)
+    return F.broadcast(kept) if kept.limit(limit + 1).count() <= limit else kept
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores on a table that arrives in fewer pieces than there are cores.
 
