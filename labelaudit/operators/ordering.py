@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelaudit.session import settle
 
-_SLICE = "_slice"
+_SLICE, _CELL = "_slice", "_cell"
 
 
 def _named(columns: Sequence[Column | str]) -> list[Column]:
@@ -47,27 +47,25 @@ def running_totals(
         sliced = settle(
             df.repartitionByRange(*keys, *order).withColumn(_SLICE, F.spark_partition_id())
         )
-    local = Window.partitionBy(*by, _SLICE).orderBy(*order).rowsBetween(
+    # one key for window and join, so the rows move once; inside a struct, NULLs are equal
+    sliced = sliced.withColumn(_CELL, F.struct(_SLICE, *by)).drop(_SLICE)
+    # one row per slice and group: sized by partitions, not by rows
+    cells = sliced.groupBy(_CELL).agg(*[F.sum(s).alias(f"_s_{n}") for n, s in sums.items()])
+    group = Window.partitionBy(*([F.col(f"{_CELL}.{c}") for c in by] or [F.lit(0)]))
+    before = group.orderBy(f"{_CELL}.{_SLICE}").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(
+        _CELL,
+        *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums],
+        *[F.sum(f"_s_{n}").over(group).alias(f"{n}_total") for n in sums],
+    )
+    local = Window.partitionBy(_CELL).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    # one row per slice and group: sized by partitions, not by rows
-    slices = sliced.groupBy(*by, _SLICE).agg(*[F.sum(s).alias(f"_s_{n}") for n, s in sums.items()])
-    group = Window.partitionBy(*(by or [F.lit(0)]))
-    before = group.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    for n in sums:
-        slices = slices.withColumn(f"_b_{n}", F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)))
-        slices = slices.withColumn(f"{n}_total", F.sum(f"_s_{n}").over(group))
-    slices = slices.drop(*[f"_s_{n}" for n in sums])
-
-    ranked = sliced.select("*", *[F.sum(s).over(local).alias(f"_l_{n}") for n, s in sums.items()])
-    left, right = ranked.alias("l"), slices.alias("r")
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, _SLICE]]
-    out = left.join(right, on)
-    columns = [F.col(f"l.{c}") for c in df.columns]
+    summed = sliced.select("*", *[F.sum(s).over(local).alias(f"_l_{n}") for n, s in sums.items()])
+    out = summed.join(cells, _CELL)
     for n in sums:
-        columns.append((F.col(f"l._l_{n}") + F.col(f"r._b_{n}")).alias(f"{n}_upto"))
-        columns.append(F.col(f"r.{n}_total").alias(f"{n}_total"))
-    return out.select(*columns)
+        out = out.withColumn(f"{n}_upto", F.col(f"_l_{n}") + F.col(f"_b_{n}"))
+    return out.select(*df.columns, *[c for n in sums for c in (f"{n}_upto", f"{n}_total")])
 
 
 def ranked(
