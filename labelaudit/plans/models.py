@@ -13,7 +13,7 @@ from labelaudit.operators.split import stratified_split
 from labelaudit.plans import views as V
 from labelaudit.plans.registry import query, r6
 from labelaudit.plans.vectors import _doc_knn, _doc_vectors
-from labelaudit.session import store
+from labelaudit.session import spread, store
 from labelaudit.sources.tables import read_table
 
 
@@ -27,9 +27,13 @@ def _vector_rows(spark, sf) -> DataFrame:
 
 def _text_rows(spark, sf) -> tuple[DataFrame, object]:
     """Labelled documents with hashed token features, and the feature model."""
-    docs = V.base(spark, sf).select(
-        F.col("doc_id").alias("row_id"), F.col("text").alias("content"), F.col("quality").alias("label")
+    texts = read_table(spark, sf, "documents").select(
+        F.col("doc_id").alias("row_id"), F.col("text").alias("content")
     )
+    labels = read_table(spark, sf, "labels").select(
+        F.col("doc_id").alias("row_id"), F.col("quality").alias("label")
+    )
+    docs = spread(texts, "row_id").join(labels, "row_id")
     model = X.fit_text_features(docs, "content", 1 << 12)
     return store(X.text_features(docs, model, "content").drop("content"), "features"), model
 

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+SPLIT_BYTES = 32 * 1024 * 1024
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin what results depend on. Works on the given session, builds none."""
@@ -63,10 +65,13 @@ def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table that arrives in fewer pieces than there are cores.
+    """Use all cores on a table too small to be split among them when read.
 
-    Meant for work that is heavy per row, such as taking texts apart. A large
-    table has more splits than the cluster has cores and is left as it is.
+    Meant for work that is heavy per row, such as taking texts apart. Only the
+    planner's size estimate is asked, so nothing runs here. It is exact for a
+    plain scan and too high after a join, and a large table is left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if size < cores * SPLIT_BYTES else df
