@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelaudit.functions.expressions import decide
 from labelaudit.operators.ordering import running_totals
+from labelaudit.session import settle
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -51,21 +52,30 @@ def confusion(preds: DataFrame, by: Sequence[str] = (), labels: Sequence[int] =
     return counted.select(*by, F.inline(F.array(*cells)))
 
 
-def _quadrants(preds: DataFrame, by: Sequence[str]) -> DataFrame:
-    true, pred = F.col("true_label"), F.col("predicted_label")
-    return preds.groupBy(*by).agg(
-        F.count_if((true == 1) & (pred == 1)).alias("tp"),
-        F.count_if((true == 0) & (pred == 1)).alias("fp"),
-        F.count_if((true == 1) & (pred == 0)).alias("fn"),
-        F.count_if((true == 0) & (pred == 0)).alias("tn"),
+def _pairs(preds: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows per (true, predicted) pair: all that the counting metrics need."""
+    return preds.groupBy(*by, "true_label", "predicted_label").agg(F.count("*").alias("n"))
+
+
+def _quadrants(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    def cell(true: int, predicted: int) -> Column:
+        hit = (F.col("true_label") == true) & (F.col("predicted_label") == predicted)
+        return F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0))
+
+    return pairs.groupBy(*by).agg(
+        cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(0, 0).alias("tn")
     )
 
 
 def binary_metrics(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts, accuracy, precision, recall, F1 and balanced accuracy of class 1."""
+    return _binary(_pairs(preds, by), by)
+
+
+def _binary(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     recall, specificity = ratio(tp, tp + fn), ratio(tn, tn + fp)
-    return _quadrants(preds, by).select(
+    return _quadrants(pairs, by).select(
         *by,
         "tp", "fp", "fn", "tn",
         ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"),
@@ -78,7 +88,10 @@ def binary_metrics(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def class_report(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, F1 and support for every class seen as true or predicted."""
-    pairs = preds.groupBy(*by, "true_label", "predicted_label").agg(F.count("*").alias("n"))
+    return _report(_pairs(preds, by), by)
+
+
+def _report(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     hit = F.col("true_label") == F.col("predicted_label")
     zero = F.lit(0).cast("bigint")
     sides = F.array(
@@ -112,9 +125,13 @@ def class_report(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def class_report_avg(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Macro and support-weighted averages of the class report."""
+    return _averages(class_report(preds, by), by)
+
+
+def _averages(report: DataFrame, by: Sequence[str]) -> DataFrame:
     names = ("precision", "recall", "f1")
     support = F.col("support")
-    sums = class_report(preds, by).groupBy(*by).agg(
+    sums = report.groupBy(*by).agg(
         *[F.avg(n).alias(f"m_{n}") for n in names],
         *[ratio(F.sum(F.col(n) * support), F.sum(support)).alias(f"w_{n}") for n in names],
         F.sum(support).alias("support"),
@@ -215,10 +232,14 @@ def compare_variants(preds: DataFrame, variant: str, baseline: str, candidate: s
 
 
 def evaluation_summary(preds: DataFrame, by: Sequence[str] = ("model", "dataset")) -> DataFrame:
-    """Long table (…, metric, class, value): accuracy, AUC, class report and averages."""
+    """Long table (…, metric, class, value): accuracy, AUC, class report and averages.
+
+    The predictions are read twice: once for all counts, once for the scores.
+    """
     by = list(by)
-    report = class_report(preds, by)
-    averages = class_report_avg(preds, by)
+    pairs = settle(_pairs(preds, by))
+    report = _report(pairs, by)
+    averages = _averages(report, by)
     none = F.lit(None).cast("string")
 
     def long(df: DataFrame, label: Column, names: Sequence[str]) -> DataFrame:
@@ -232,7 +253,7 @@ def evaluation_summary(preds: DataFrame, by: Sequence[str] = ("model", "dataset"
 
     shown = ("precision", "recall", "f1", "support")
     return (
-        long(binary_metrics(preds, by), none, ["accuracy"])
+        long(_binary(pairs, by), none, ["accuracy"])
         .unionByName(long(roc_auc(preds, by), none, ["auc"]))
         .unionByName(long(report, F.col("class").cast("string"), shown))
         .unionByName(long(averages, F.col("average"), shown))
