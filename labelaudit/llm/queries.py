@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelaudit.llm import mixing
+from labelaudit.llm import mixing, simhash
 from labelaudit.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,16 @@ def op2_mix_sources(spark, sf_dir):
     )
 
 
+@query
+def op3_simhash_components(spark, sf_dir):
+    """Fingerprint of 3-word shingles and component within 3 bits, for every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    placed = simhash.components(docs, [F.col("doc_id")], shingle=3, radius=3)
+    return placed.select(
+        "doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), F.col("first").alias("component_id")
+    )
+
+
 ORACLES["op2_mix_sources"] = r"""
 WITH sized AS (
   SELECT doc_id, source, text,
