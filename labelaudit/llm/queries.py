@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelaudit.llm import mixing, simhash
+from labelaudit.llm import fertility, mixing, simhash
 from labelaudit.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,14 @@ def op3_simhash_components(spark, sf_dir):
     )
 
 
+@query
+def op5_tokenizer_fertility(spark, sf_dir):
+    """Base counts of every text, its fertility, and whether it is kept."""
+    scored = fertility.score(documents(spark, sf_dir).select("doc_id", "text", "lang"), ["doc_id"])
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return scored.select(*first, "n_tokens", "chars_per_token", "byte_share", "entropy")
+
+
 ORACLES["op2_mix_sources"] = r"""
 WITH sized AS (
   SELECT doc_id, source, text,
