@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelaudit.llm import fertility, mixing, simhash
+from labelaudit.llm import bpe, fertility, mixing, simhash
 from labelaudit.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,12 @@ def op5_tokenizer_fertility(spark, sf_dir):
     return scored.select(*first, "n_tokens", "chars_per_token", "byte_share", "entropy")
 
 
+@query
+def op8_byte_level_bpe(spark, sf_dir):
+    """Ids of every text under the public vocabulary, and what they decode to, as digests."""
+    return bpe.digests(documents(spark, sf_dir).select("doc_id", "text"), ["doc_id"])
+
+
 ORACLES["op2_mix_sources"] = r"""
 WITH sized AS (
   SELECT doc_id, source, text,
