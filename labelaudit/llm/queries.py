@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelaudit.llm import bpe, fertility, mixing, simhash
+from labelaudit.llm import bpe, fertility, mixing, secret_scan, simhash
 from labelaudit.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,12 @@ def op8_byte_level_bpe(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir).select("doc_id", "text"), ["doc_id"])
 
 
+@query
+def op10_secret_automaton(spark, sf_dir):
+    """Secrets of every text: counts and digest of the base kinds, and all spans."""
+    return secret_scan.digests(documents(spark, sf_dir).select("doc_id", "text"), ["doc_id"])
+
+
 ORACLES["op2_mix_sources"] = r"""
 WITH sized AS (
   SELECT doc_id, source, text,
