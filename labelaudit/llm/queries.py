@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelaudit.llm import bpe, fertility, mixing, secret_scan, simhash
+from labelaudit.llm import bpe, fertility, mixing, secret_scan, simhash, weighted_sampling
 from labelaudit.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,12 @@ def op10_secret_automaton(spark, sf_dir):
     return secret_scan.digests(documents(spark, sf_dir).select("doc_id", "text"), ["doc_id"])
 
 
+@query
+def op9_weighted_fingerprints(spark, sf_dir):
+    """Fingerprints of every text and its edited text, and how alike they are."""
+    return weighted_sampling.compare_with_next(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 ORACLES["op2_mix_sources"] = r"""
 WITH sized AS (
   SELECT doc_id, source, text,
