@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelaudit.llm import bpe, fertility, mixing, secret_scan, simhash, weighted_sampling
+from labelaudit.llm import bpe, chat, fertility, mixing, secret_scan, simhash, weighted_sampling
 from labelaudit.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,22 @@ def op9_weighted_fingerprints(spark, sf_dir):
     return weighted_sampling.compare_with_next(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+@query
+def op6_chat_format(spark, sf_dir):
+    """Every conversation formatted, and what its formatted text reads back as."""
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hard = F.lit(r"\### Assistant: </turn> ok").alias("text")
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        hard,
+    )
+    turns = chat.canonical_turns(chat.row_records(given.unionByName(probe)))
+    back = chat.read_back(chat.segments(turns))
+    return back.select(F.col("group").cast("long").alias("conv_id"), *back.columns[1:])
+
+
 ORACLES["op2_mix_sources"] = r"""
 WITH sized AS (
   SELECT doc_id, source, text,
@@ -110,3 +126,17 @@ SELECT doc_id, size, source_size, target,
        size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS taken
 FROM rates
 """
+
+ORACLES["op6_chat_format"] = r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<turn ') + length(role) + length('>') + 1 + length(regexp_replace(text, '([\\<#])', '\\\1', 'g'))
+           + 1 + length('</turn>') + 1)::BIGINT AS formatted_chars
+FROM given GROUP BY conv_id
+"""
