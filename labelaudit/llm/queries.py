@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelaudit.llm import bpe, chat, fertility, mixing, secret_scan, simhash, weighted_sampling
+from labelaudit.llm import bpe, chat, fertility, mixing, secret_scan, simhash, suffix_dedup, weighted_sampling
 from labelaudit.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,15 @@ def op6_chat_format(spark, sf_dir):
     return back.select(F.col("group").cast("long").alias("conv_id"), *back.columns[1:])
 
 
+@query
+def op4_suffix_dedup(spark, sf_dir):
+    """Every text without the bytes of 200-byte strings that start anywhere else too."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 ORACLES["op2_mix_sources"] = r"""
 WITH sized AS (
   SELECT doc_id, source, text,
