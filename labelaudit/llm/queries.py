@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelaudit.llm import bpe, chat, fertility, mixing, secret_scan, simhash, suffix_dedup, weighted_sampling
+from labelaudit.llm import bpe, chat, fertility, mixing, pii, secret_scan, simhash, suffix_dedup, weighted_sampling
 from labelaudit.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op1_pii_surrogates(spark, sf_dir):
+    """Every document with its personal data replaced by surrogates."""
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "source", "text")
+    return pii.replace(docs, key="labelaudit").select("doc_id", "text", "n_entities")
+
+
 @query
 def op2_mix_sources(spark, sf_dir):
     """How often the mix takes each document, by weights 1, 2, 3 over the sources."""
