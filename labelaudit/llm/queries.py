@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelaudit.llm import bpe, chat, fertility, mixing, pii, secret_scan, simhash, suffix_dedup, weighted_sampling
+from labelaudit.llm import bpe, chat, fertility, mixing, pii, secret_scan, simhash, suffix_dedup, weak_quality, weighted_sampling
 from labelaudit.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +109,12 @@ def op4_suffix_dedup(spark, sf_dir):
     )
 
 
+@query
+def op7_weak_label_quality(spark, sf_dir):
+    """Score of every document by a scorer learnt from weak labels, and whether it is kept."""
+    return weak_quality.classify(documents(spark, sf_dir).select("doc_id", "text"), ["doc_id"])
+
+
 ORACLES["op2_mix_sources"] = r"""
 WITH sized AS (
   SELECT doc_id, source, text,
