@@ -28,32 +28,30 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
 from labelaudit.llm.frames import hidden, map_texts, shown
 
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 LONG = 512
 BLOCK_WORDS = 20_000
 BLOCK_BYTES = 1 << 20
 
+#: Rows are (spot, token), spot = word << 10 | position; after a contraction the word's later positions move up.
 CONTRACT = """
 WITH RECURSIVE steps AS (
-  SELECT word, pos, tok, false AS done FROM letters
+  SELECT spot, tok, false AS done FROM letters
   UNION ALL
-  (WITH pairs AS (
-     SELECT n.word, n.pos, n.next, m.rank
-     FROM (SELECT word, pos, lead(pos) OVER w AS next, (tok::BIGINT << 32) | lead(tok) OVER w AS pair
-           FROM steps WHERE NOT done WINDOW w AS (PARTITION BY word ORDER BY pos)) n
-     JOIN merges m USING (pair)),
-   best AS (
-     SELECT word, min(rank) AS rank, arg_min(pos, (rank::BIGINT << 32) | pos) AS at,
-            arg_min(next, (rank::BIGINT << 32) | pos) AS gone
-     FROM pairs GROUP BY word)
-   SELECT s.word, s.pos, CASE WHEN s.pos = b.at THEN b.rank ELSE s.tok END, b.rank IS NULL
-   FROM steps s LEFT JOIN best b ON s.word = b.word
-   WHERE NOT s.done AND (b.gone IS NULL OR s.pos <> b.gone)))
-SELECT word, list(tok ORDER BY pos) AS ids FROM steps WHERE done GROUP BY word ORDER BY word
+  (WITH best AS (
+     SELECT a.spot >> 10 AS word, min(rank) AS rank,
+            arg_min(a.spot, (rank::BIGINT << 32) | (a.spot & 1023)) AS spot
+     FROM steps a JOIN steps b ON b.spot = a.spot + 1 JOIN merges ON pair = (a.tok::BIGINT << 32) | b.tok
+     WHERE NOT a.done AND NOT b.done GROUP BY a.spot >> 10)
+   SELECT CASE WHEN s.spot > b.spot THEN s.spot - 1 ELSE s.spot END,
+          CASE WHEN s.spot = b.spot THEN b.rank ELSE s.tok END, b.rank IS NULL
+   FROM steps s LEFT JOIN best b ON s.spot >> 10 = b.word
+   WHERE NOT s.done AND (b.spot IS NULL OR s.spot <> b.spot + 1)))
+SELECT spot >> 10 AS word, list(tok ORDER BY spot) AS ids FROM steps WHERE done GROUP BY spot >> 10 ORDER BY word
 """
 
 DECODE = """
@@ -74,7 +72,7 @@ class Codec:
         self.words = regex.compile(pattern).findall
         self.tokens = {t: self._packed([r]) for t, r in self.ranks.items()}
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes | None] = {}
+        self.parts: dict[str, bytes] = {}
         self.letters = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect()
         for setting in ("threads = 1", "temp_directory = ''", "enable_progress_bar = false"):
@@ -105,9 +103,10 @@ class Codec:
         for at in range(0, len(words), BLOCK_WORDS):
             block = words[at : at + BLOCK_WORDS]
             sizes = np.array([len(w) for w in block])
-            word = np.repeat(np.arange(len(block), dtype=np.int32), sizes)
-            pos = np.arange(len(word), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
-            self._table("letters", word=word, pos=pos, tok=self.letters[np.frombuffer(b"".join(block), np.uint8)])
+            word = np.repeat(np.arange(len(block)), sizes)
+            pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            letters = self.letters[np.frombuffer(b"".join(block), np.uint8)]
+            self._table("letters", spot=(word << 10 | pos).astype(np.int32), tok=letters)
             ids = self._rows(CONTRACT).column("ids").chunk(0)
             values, cuts = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
             self.known.update((w, values[a:b].tobytes()) for w, a, b in zip(block, cuts[:-1], cuts[1:]))
@@ -156,20 +155,24 @@ class Codec:
         # A single space between two other characters starts a new word under the pattern,
         # whatever stands around it, so the parts between such spaces can be looked up whole.
         cut = [t.split(" ") for t in texts]
-        if len(self.parts) > REMEMBERED:
+        seen: set[str] = set()
+        for parts in cut:
+            seen.update(parts)
+        new = seen.difference(self.parts)
+        if len(self.parts) + len(new) > REMEMBERED:
             for part in list(islice(self.parts, len(self.parts) // 2)):
-                del self.parts[part]
-        new = {p: None for parts in cut for p in parts[1:] if p not in self.parts}
-        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        split = {p: [w.encode() for w in self.words(" " + p)] for p in new if p not in odd}
-        whole = {}
-        for i, parts in enumerate(cut):  # the first part has no space before it
-            if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace() or any(self.parts.get(p, p) is None or p in odd for p in parts[1:])):
+                if part not in seen:
+                    del self.parts[part]
+        odd = {p for p in seen if not p or p[0].isspace() or p[-1].isspace()}
+        split = {p: [w.encode() for w in self.words(" " + p)] for p in new - odd}
+        whole, first = {}, {}  # the first part has no space before it
+        for i, parts in enumerate(cut):
+            if odd and not odd.isdisjoint(parts):
                 whole[i] = [w.encode() for w in self.words(texts[i])]
-        first = {i: [w.encode() for w in self.words(parts[0])] for i, parts in enumerate(cut) if i not in whole}
+            else:
+                first[i] = [w.encode() for w in self.words(parts[0])]
         self._learn({w for group in (split, whole, first) for words in group.values() for w in words})
         self.parts.update((p, self._of_words(words)) for p, words in split.items())
-        self.parts.update((p, None) for p in odd)
         found = self.parts.__getitem__
         return [
             self._of_words(whole[i]) if i in whole else self._of_words(first[i]) + b"".join(map(found, parts[1:]))
@@ -248,7 +251,7 @@ def decode(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded", vocab
     """All columns of ``encoded``, and the bytes its ids stand for."""
     given = vocabulary or production()
     rows, names = hidden(encoded)
-    schema = rows.schema.add("decoded", "binary")
+    schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
