@@ -153,10 +153,11 @@ def digests(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","
         )
 
-    base = F.filter(spans, lambda x: x["kind"].isin([r.kind for r in BASE_RULES]))
-    counts = [
-        F.size(F.filter(spans, lambda x, k=r.kind: x["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in BASE_RULES
-    ]
+    def of(kinds):
+        return F.filter(spans, lambda x: x["kind"].isin(kinds))
+
+    base = of([r.kind for r in BASE_RULES])
+    counts = [F.size(of([r.kind])).cast("long").alias(f"n_{r.kind}") for r in BASE_RULES]
     return scan(docs, keep, text).select(
         *keep, *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans")
     )
