@@ -30,8 +30,8 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
-#: Characters per token of ordinary prose in the production vocabulary, by language.
-LANGUAGE_BANDS = {"en": (2.50, 2.80), "de": (2.50, 2.80), "fr": (2.22, 2.50), "es": (2.18, 2.46)}
+#: Characters per token of prose in the production vocabulary, by language: from made-up words to literature.
+LANGUAGE_BANDS = {"en": (2.50, 5.5), "de": (2.50, 5.5), "fr": (2.22, 5.0), "es": (2.18, 5.0)}
 #: The same by script, for other languages: wide, as languages of a script differ.
 SCRIPT_BANDS = {"Latin": (1.6, 5.5), "Cyrillic": (1.2, 4.5), "Greek": (0.9, 3.5), "Han": (0.4, 2.5), "other": (0.25, 8.0)}
 #: The most fallback bytes; scripts without pieces of their own are written in bytes.
