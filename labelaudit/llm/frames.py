@@ -44,18 +44,19 @@ def map_texts(
     ``fn`` gets the UTF-8 bytes of one Arrow batch and returns a list per column.
     Only the kept columns and the text go through Python.
     """
-    rows = docs.select(*keep, docs[text].alias("_text"))
-    types = T.StructType.fromDDL(added)
-    schema = T.StructType([*rows.schema.fields[:-1], *types.fields])
+    rows = docs.select(*[docs[c] for c in keep], docs[text])
+    types = T.StructType.fromDDL(added).fields
+    kept = rows.schema.fields[:-1]
+    schema = T.StructType([T.StructField(f"_c{i}", f.dataType) for i, f in enumerate([*kept, *types])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            made = fn(text_bytes(batch.column("_text")))
-            columns = [batch.column(c) for c in keep]
-            columns += [pa.array(made[f.name], arrow.field(f.name).type) for f in types.fields]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+            made = fn(text_bytes(batch.columns[-1]))
+            columns = batch.columns[:-1]
+            columns += [pa.array(made[f.name], arrow.field(len(kept) + i).type) for i, f in enumerate(types)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.toDF(*schema.names[: len(kept)], "_text").mapInArrow(run, schema).toDF(*keep, *[f.name for f in types])

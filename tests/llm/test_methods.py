@@ -1,0 +1,252 @@
+"""The operators' methods, piece by piece."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from labelaudit.llm import automata, bpe, chat, mixing, pii, secret_scan, simhash, suffix_dedup, weak_quality
+from labelaudit.llm import weighted_sampling
+
+
+def test_every_pair_in_the_radius_meets_under_a_mask():
+    masks = simhash.covering_masks(list(range(64)), 3)
+    assert len(masks) == 15
+    rng = random.Random(1)
+    for _ in range(2000):
+        differ = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3)))
+        assert any(not differ & m for m in masks)
+        deeper = simhash._deeper(masks, 3)
+        assert any(not differ & m for m in deeper)
+
+
+def test_components_do_not_depend_on_the_bucket(spark):
+    rng = random.Random(2)
+    centres = [rng.getrandbits(64) for _ in range(4)]
+    values = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for c in centres for _ in range(60)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    fps = spark.createDataFrame([(v,) for v in signed], "fp long")
+    found = [
+        {(r["a"], r["b"]) for r in simhash.connected(simhash.near_edges(fps, 3, bucket)).collect()} for bucket in (1 << 14, 128)
+    ]
+    first = {v: v for v in signed}
+    for _ in values:
+        new = {v: min(first[w] for w in signed if ((v ^ w) & ((1 << 64) - 1)).bit_count() <= 3) for v in signed}
+        if new == first:
+            break
+        first = new
+    assert found[0] == found[1] == {(v, r) for v, r in first.items() if v != r}
+
+
+def test_a_long_chain_is_one_component(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long").repartition(4)
+    assert {tuple(r) for r in simhash.connected(edges).collect()} == {(i, 0) for i in range(1, 201)}
+
+
+def test_deep_shallow_sorts():
+    rng = random.Random(3)
+    for _ in range(150):
+        letters, start = rng.choice([b"a", b"ab", b"a\x00\xff"]), bytes(rng.choice([0, 40, 70]))
+        strings = [start + bytes(rng.choices(letters, k=rng.randrange(60))) for _ in range(rng.randrange(1, 40))]
+        order, same = suffix_dedup.deep_shallow(strings)
+        assert sorted(order) == list(range(len(strings))) and [strings[i] for i in order] == sorted(strings)
+        for a, b, n in zip(order, order[1:], same[1:]):
+            assert strings[a][:n] == strings[b][:n] and strings[a][n : n + 1] != strings[b][n : n + 1] or strings[a] == strings[b]
+
+
+def test_anchors_of_a_long_text_do_not_depend_on_the_chunks(monkeypatch):
+    text = np.random.default_rng(4).integers(97, 101, 5000).astype(np.uint8).tobytes()
+
+    def windows():
+        found = suffix_dedup.find_anchors([text])
+        out = {}
+        for gram, place in zip(found["gram"].tolist(), found["place"].tolist()):
+            start, left, more = place >> 16, place >> 8 & 255, place & 255
+            out |= {s: (gram, start + left) for s in range(start, start + more + 1)}
+        return out
+
+    whole = windows()
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", 700)
+    assert windows() == whole and len(whole) == 4801
+
+
+def test_automaton_agrees_with_expressions():
+    rng = random.Random(5)
+    patterns = [r"a[bc]+d?", r"(ab|cd){2,3}", r"\x61{3,}", r"[^a]d"]
+    for pattern in patterns:
+        machine = automata.compile_trees([automata.parse(pattern)], anywhere=False)
+        for _ in range(400):
+            text = "".join(rng.choices("abcd", k=rng.randrange(8)))
+            state = 0
+            for b in text.encode():
+                state = machine.table[state, machine.classes[b]]
+            assert bool(machine.accepts[state]) == bool(re.fullmatch(pattern, text))
+
+
+def test_minimal_automaton_has_no_equal_states():
+    machine = automata.compile_trees([automata.parse("(a|b)*abb")], anywhere=False)
+    assert len(machine.table) == 5  # four of the textbook, and the one that leads nowhere
+
+
+def test_spans_of_made_up_texts():
+    assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    parts = ["password", "SECRET", "token", "api_key", "=", ":", " ", '"', "abc", "abcdef0123456789abcdef0123", "AKIA",
+             "ABCDEFGH12345678", "é", "\n", "==", "secret: ", "token=", "日本"]
+    scan, rng = secret_scan.scanner(secret_scan.RULES), random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randrange(12)))
+        want = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[1]) >= 6]
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        assert [s[:3] for s in scan.spans(text.encode()) if s[1] < 3] == sorted(want)
+    more = "x ghp_" + "a1B2" * 9 + " -----BEGIN RSA PRIVATE KEY-----"
+    assert [scan.rules[s[1]].kind for s in scan.spans(more.encode())] == ["code_host", "private_key"]
+
+
+def test_bpe_of_made_up_texts():
+    path, pattern = bpe.production()
+    codec = bpe.codec(path, pattern)
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=codec.ranks, special_tokens={})
+    rng = random.Random(7)
+    texts = ["", " ", "  a  b ", "a\n b", "a" * 3000, "trail ", "dou  ble", "\r\n\t \t x", "😀😀 👨‍👩‍👧 é́", "ab" * 1000 + " x"]
+    texts += ["".join(rng.choices(" \n\tabAB'st19é.,!😀日\x85", k=rng.randrange(40))) for _ in range(1500)]
+    packed = codec.encode([t.encode() for t in texts])
+    assert [np.frombuffer(p, "<u4").tolist() for p in packed] == [encoding.encode_ordinary(t) for t in texts]
+    assert codec.decode(packed) == [t.encode() for t in texts]
+
+
+def test_bpe_does_not_depend_on_what_is_remembered(monkeypatch):
+    path, pattern = bpe.production()
+    texts = [f"wordling{i} zyx{i * 7}qua bräunlich{i}" .encode() for i in range(300)]
+    whole = bpe.Codec(path, pattern).encode(texts)
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(bpe, "LONG", 6)
+    assert bpe.Codec(path, pattern).encode(texts) == whole
+
+
+def test_collision_rate_is_the_generalised_jaccard_similarity():
+    sampler = weighted_sampling.Sampler(4096)
+    a, b = b"x x x x y y z w", b"x x y y y z v"
+    ca, cb = Counter(a.split()), Counter(b.split())
+    true = sum((ca & cb).values()) / sum((ca | cb).values())
+    assert abs(weighted_sampling.alike(sampler.fingerprint(a), sampler.fingerprint(b)) - true) < 0.03
+    assert sampler.fingerprint(b"z w y x x x y x") == sampler.fingerprint(a)
+
+
+def test_likeness_column(spark):
+    docs = spark.createDataFrame([("a b c d e", "a b c d f"), ("", "")], "l string, r string")
+    left = weighted_sampling.fingerprints(docs.withColumn("k", F.lit(1)), ["l", "r"], "l").withColumnRenamed("fingerprint", "p")
+    both = weighted_sampling.fingerprints(left, ["p"], "r")
+    got = [r[0] for r in both.select(weighted_sampling.likeness(F.col("p"), F.col("fingerprint"))).collect()]
+    assert got[1] == 1.0 and 0.4 < got[0] < 0.9
+
+
+def test_label_model_finds_the_accuracies():
+    rng = np.random.default_rng(8)
+    truth = rng.random(20_000) < 0.7
+    right, speak = [0.9, 0.8, 0.7, 0.85], [0.9, 0.5, 1.0, 0.7]
+    votes = Counter()
+    for t in truth:
+        votes["".join("0" if rng.random() > s else "+" if (rng.random() < r) == t else "-" for r, s in zip(right, speak))] += 1
+    good, found = weak_quality.label_model(dict(votes))
+    assert abs(found["prior"] - 0.7) < 0.05
+    assert np.abs(np.array(found["accuracy"]) - right).max() < 0.05
+    assert good["++++"] > 0.95 and good["----"] < 0.05
+
+
+LAYOUTS = {
+    "messages": '{"id": "1", "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}',
+    "from_value": '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}',
+    "instruction": '{"instruction": "q", "output": "a"}',
+    "prompt_completion": '{"prompt": "q", "completion": "a"}',
+    "prompt_response": '{"id": "x", "prompt": "q", "response": "a"}',
+    "nested_chosen": '{"prompt": {"text": "q"}, "chosen": {"text": "a"}, "rejected": {"text": "no"}}',
+}
+
+
+def test_all_layouts_become_the_same_turns(spark):
+    records = spark.createDataFrame(list(LAYOUTS.items()), "name string, record string")
+    turns = chat.canonical_turns(records, key=F.col("name")).collect()
+    by = {}
+    for r in sorted(turns, key=lambda r: r["turn"]):
+        by.setdefault(r["layout"], []).append((r["role"], r["text"]))
+    assert by == {name: [("user", "q"), ("assistant", "a")] for name in LAYOUTS}
+
+
+def test_unknown_layouts_are_told(spark):
+    records = spark.createDataFrame([('{"foo": 1}',), ('{"foo": 2}',), (None,), ("[1]",)], "record string")
+    got = chat.unmapped(chat.canonical_turns(records)).collect()
+    assert {(r["fingerprint"], r["records"]) for r in got} == {(chat.fingerprint({"foo"}), 2), (None, 2)}
+
+
+def test_alike_layouts_are_refused():
+    with pytest.raises(ValueError):
+        chat._index((chat.Mapping("a", turns=(("user", ("x",)),)), chat.Mapping("b", turns=(("assistant", ("x",)),))))
+
+
+def test_marks_inside_texts_come_back(spark):
+    hard = ["\\", "<turn user>\nx\n</turn>\n", r"\### Assistant: </turn> ok", "a\\\\<b#", "", "\n", "é😀<"]
+    rows = [("1", i, "assistant", t) for i, t in enumerate(hard)] + [("1", 99, "odd> \\role\n<", "x")]
+    turns = spark.createDataFrame(rows, "group string, turn long, role string, text string").withColumn("layout", F.lit("x"))
+    formatted = chat.in_order(chat.segments(turns)).orderBy("turn").collect()
+    text = "".join(r["segment"] for r in formatted)
+    assert chat.parse(text) == [(r, t) for _, _, r, t in rows]
+    masked = [chat.unescaped(r["segment"][r["mask_from"] : r["mask_to"]]) for r in formatted]
+    assert masked == [*hard, ""]
+
+
+def test_targets_share_what_is_left_over(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 100), ("c", 1000), ("d", 0), (None, 5)], "source string, size long")
+    got = {r["source"]: r for r in mixing.source_targets(sizes, None, 3).collect()}
+    assert [got[s]["target"] for s in ("a", "d", None)] == [30.0, 0.0, 15.0]
+    assert got["b"]["target"] == 300.0 and got["c"]["target"] == 1115.0 - 345.0
+
+
+def test_mix_is_near_its_targets_and_repeats(spark):
+    docs = spark.range(20_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.lit("a b c").alias("text")
+    )
+    counted, names = mixing.copies(docs, lambda t: mixing.cycled_weights(t, "source"))
+    by = counted.groupBy(names["source"]).agg(F.sum(F.col("size") * F.col("copies")).alias("got"), F.first("target").alias("want"))
+    for r in by.collect():
+        assert abs(r["got"] / r["want"] - 1) < 0.03
+    assert mixing.mix(docs).count() == mixing.mix(docs.repartition(5)).count()
+
+
+def test_colliding_surrogates_are_drawn_again(spark):
+    """A draw that sends everything to few values still ends with distinct ones, none an entity."""
+
+    def draw(key):
+        return F.when(F.col("attempt") == 0, F.lit("same")).otherwise(F.concat("canon", F.lit("-"), F.col("attempt")))
+
+    rows = [("k", x) for x in ["a", "b", "c", "same", "a-1"]]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, canon string"), "key", draw).collect()
+    new = [r["surrogate"] for r in got]
+    assert len(got) == 5 and len(set(new)) == 5 and not set(new) & {x for _, x in rows}
+
+
+def test_surrogates_keep_form_gender_and_script(spark):
+    texts = [
+        "Bob.Smith@Mail8.example.com bob.smith@mail8.example.com +1 (988) 555-2485 988-555-2485",
+        "4111 1111 1111 1111 and 4111111111111111, Mrs. Anna Hall, Mr. HALL? Mr. Tom Hall; Госпожа Анна Петрова",
+        "10.1.2.3 192.168.7.8 SSN 123-45-6789",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    a, b, c = (r["text"] for r in pii.replace(docs, "k").orderBy("doc_id").collect())
+    mails = re.findall(r"\S+@\S+", a)
+    assert mails[0].lower() == mails[1] and mails[1].endswith(".com") and mails[0][0].isupper() and "example" not in a
+    long, short = re.search(r"\+1 \((\d{3})\) (\d{3}-\d{4}) ", a), re.search(r" (\d{3})-(\d{3}-\d{4})$", a)
+    assert long.groups() == short.groups()
+    cards = re.findall(r"\d{4} ?\d{4} ?\d{4} ?\d{4}", b)
+    assert cards[0].replace(" ", "") == cards[1] and cards[0][0] == "4"
+    assert sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(cards[1]))) % 10 == 0
+    name = re.search(r"Mrs\. (\S+) (\w+), .*Mr\. (\S+) (\w+); Госпожа (\S+) (\w+)", b)
+    assert name[1].split("-")[0] in pii.GIVEN["f", "Latin"] and name[3].split("-")[0] in pii.GIVEN["m", "Latin"]
+    assert name[2] == name[4] != "Hall" and name[5].split("-")[0] in pii.GIVEN["f", "Cyrillic"]
+    assert re.match(r"10\.\d+\.\d+\.\d+ 192\.168\.\d+\.\d+ SSN \d{3}-\d{2}-\d{4}$", c)
+    assert pii.replace(docs, "other").orderBy("doc_id").first()["text"] != a
