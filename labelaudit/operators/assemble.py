@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from labelaudit.functions.expressions import default_label, text_key
 from labelaudit.sources.schemas import require_columns
 
+SALTS = 64
+
 
 def by_value(df: DataFrame, column: str, value) -> DataFrame:
-    """Equality filter; reaches the Parquet scan."""
+    """Equality filter; on a stored column it reaches the Parquet scan."""
     return df.where(F.col(column) == value)
 
 
@@ -38,29 +40,38 @@ def _complete(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(keys))
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, salt_by: str, how: str = "inner") -> DataFrame:
+    """Join on a key that may hold a large part of ``left``, missing keys being equal.
+
+    ``right`` has one row per key. It is repeated for each of ``SALTS`` slices, and every
+    left row meets the slice that the hash of ``salt_by`` names, so no key is one task.
+    Pass narrow rows on both sides.
+    """
+    slices = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt_r")
+    many = right.withColumnRenamed(key, "_key_r").select("*", slices)
+    one = left.withColumn("_salt_l", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
+    same = F.col(key).eqNullSafe(F.col("_key_r")) & (F.col("_salt_l") == F.col("_salt_r"))
+    return one.join(many, same, how).drop("_key_r", "_salt_l", "_salt_r")
+
+
 def dedupe(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
     """Keep the row with the smallest ``row_id`` for each key; rows without a key go.
 
     Groups are found on (hash, row_id) alone, with partial aggregation, so a text
-    held by a third of all rows is one row per map task. Only the ids to drop
-    meet the wide table again.
+    held by a third of all rows is one row per map task. The wide table meets the ids
+    to keep, which are unique.
     """
     full = _complete(df, keys)
     narrow = full.select(F.col(row_id), _key(df, keys).alias("_k"))
-    groups = narrow.groupBy("_k").agg(F.min(row_id).alias("_first"), F.count("*").alias("_n"))
-    later = (
-        narrow.join(groups.where("_n > 1"), "_k")
-        .where(F.col(row_id) > F.col("_first"))
-        .select(row_id)
-    )
-    return full.join(later, row_id, "left_anti")
+    first = narrow.groupBy("_k").agg(F.min(row_id).alias(row_id)).select(row_id)
+    return full.join(first, row_id, "left_semi")
 
 
-def duplicate_members(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every row whose key occurs more than once."""
-    keyed = _complete(df, keys).withColumn("_k", _key(df, keys))
-    repeated = keyed.groupBy("_k").agg(F.count("*").alias("_n")).where("_n > 1")
-    return keyed.join(repeated, "_k", "left_semi").drop("_k")
+def duplicate_members(df: DataFrame, keys: Sequence[str], row_id: str = "row_id") -> DataFrame:
+    """Every row whose key occurs more than once. ``row_id`` is unique."""
+    narrow = _complete(df, keys).select(row_id, _key(df, keys).alias("_k"))
+    repeated = narrow.groupBy("_k").agg(F.count("*").alias("_n")).where("_n > 1").select("_k")
+    return df.join(salted_join(narrow, repeated, "_k", row_id).select(row_id), row_id, "left_semi")
 
 
 def dedupe_report(df: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -100,14 +111,21 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
-def exclude(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
+def exclude(
+    df: DataFrame, other: DataFrame, key: str, other_key: str | None = None, row_id: str | None = None
+) -> DataFrame:
     """Rows of ``df`` whose key is not in ``other``.
 
     A missing key in ``df`` is dropped with the others only when ``other`` holds
-    a missing key, as set membership treats them as equal.
+    a missing key, as set membership treats them as equal. With ``row_id``, a unique
+    column, keys are compared on narrow rows and the wide ones meet ids alone;
+    without it, the wide rows are shuffled by key and a hash of the row.
     """
     kind = df.schema[key].dataType.typeName()
     wrap = text_key if kind == "string" else F.col
     keys = other.select(wrap(other_key or key).alias("_k")).distinct()
-    left = df.withColumn("_dfk", wrap(key))
-    return left.join(keys, F.col("_dfk").eqNullSafe(F.col("_k")), "left_anti").drop("_dfk")
+    if row_id is not None:
+        gone = salted_join(df.select(row_id, wrap(key).alias("_k")), keys, "_k", row_id)
+        return df.join(gone.select(row_id), row_id, "left_anti")
+    left = df.select("*", wrap(key).alias("_k"), F.xxhash64(*df.columns).alias("_row"))
+    return salted_join(left, keys, "_k", "_row", "left_anti").drop("_k", "_row")

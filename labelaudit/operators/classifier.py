@@ -34,20 +34,24 @@ def fit_classifier(
     """Logistic regression with an L2 penalty of strength 1/c on unscaled features.
 
     MLlib divides the loss by the total weight and leaves the penalty whole, so
-    the penalty is divided by the number of rows to match a summed loss.
-    ``weights`` is (label, weight), one row per class.
+    the penalty is divided by the total weight to match a summed loss.
+    ``weights`` is (label, weight), one row per class; a class without one is an error.
     """
     rows = df.where(F.col(label).isNotNull())
-    n = rows.count()
     options = {}
+    total = F.count(F.lit(1)).cast("double")
     if weights is not None:
-        rows = rows.join(F.broadcast(weights.select(label, "weight")), label)
+        rows = rows.join(weights.select(label, F.col("weight").alias("_w")), label, "left")
+        given = F.coalesce("_w", F.raise_error(F.lit("a class has no weight")).cast("double"))
+        rows = rows.withColumn("weight", given).drop("_w")
         options["weightCol"] = "weight"
+        total = F.sum("weight")
+    n = rows.agg(total).first()[0] or 1.0
     model = LogisticRegression(
         featuresCol="features",
         labelCol=label,
         maxIter=max_iter,
-        regParam=1.0 / (c * max(n, 1)),
+        regParam=1.0 / (c * n),
         elasticNetParam=elastic_net,
         standardization=False,
         **options,
@@ -111,8 +115,8 @@ def out_of_fold(
     return reduce(DataFrame.unionByName, parts)
 
 
-def run_trial(train: DataFrame, val: DataFrame, params: Mapping, label: str, weights: DataFrame | None) -> dict:
-    model = fit_classifier(
+def fit_setting(train: DataFrame, params: Mapping, label: str, weights: DataFrame | None) -> LogisticRegressionModel:
+    return fit_classifier(
         train,
         label,
         weights,
@@ -120,11 +124,18 @@ def run_trial(train: DataFrame, val: DataFrame, params: Mapping, label: str, wei
         max_iter=int(params.get("max_iter", 100)),
         elastic_net=params.get("elastic_net", 0.0),
     )
+
+
+def measured(model: LogisticRegressionModel, val: DataFrame, label: str) -> dict:
     preds = score(val.where(F.col(label).isNotNull()), model).withColumnRenamed(label, "true_label")
     row = binary_metrics(preds).first()
     return {m: row[m] for m in TRIAL_METRICS}
 
 
+def run_trial(train: DataFrame, val: DataFrame, params: Mapping, label: str, weights: DataFrame | None) -> dict:
+    return measured(fit_setting(train, params, label, weights), val, label)
+
+
 def grid_search(
     train: DataFrame,
     val: DataFrame,
@@ -177,14 +188,8 @@ def refit_top(
     models = []
 
     def keep(train_, val_, params, label_, weights_):
-        model = fit_classifier(
-            train_, label_, weights_, c=params.get("c", 1.0),
-            max_iter=int(params.get("max_iter", 100)), elastic_net=params.get("elastic_net", 0.0),
-        )
-        models.append(model)
-        preds = score(val_.where(F.col(label_).isNotNull()), model).withColumnRenamed(label_, "true_label")
-        row = binary_metrics(preds).first()
-        return {m: row[m] for m in TRIAL_METRICS}
+        models.append(fit_setting(train_, params, label_, weights_))
+        return measured(models[-1], val_, label_)
 
     grid = [{n: r[n] for n in settings if r[n] is not None} for r in best]
     table = grid_search(train, val, grid, label, weights, parallelism=1, run=keep)

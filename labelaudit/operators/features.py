@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from labelaudit.functions.expressions import text_or_empty
-from labelaudit.session import spread
+from labelaudit.operators.ordering import ranked
 
 PAD, UNKNOWN, FIRST_ID = 0, 1, 2
-MAX_VOCABULARY = 1_000_000
-BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def tokens(text: Column | str) -> Column:
@@ -21,20 +21,15 @@ def tokens(text: Column | str) -> Column:
 def build_vocab(df: DataFrame, text: str, max_size: int) -> DataFrame:
     """(token, token_id, n) of the most frequent tokens of the whole corpus.
 
-    Ties go by token; ids follow the order. The size limit is checked because
-    the result is broadcast when encoding.
+    Ties go by token; ids follow the order. Tokens are ranked in slices, so neither
+    they nor the vocabulary pass through one task.
     """
-    if not 0 < max_size <= MAX_VOCABULARY:
-        raise ValueError(f"max_size must be in 1..{MAX_VOCABULARY}")
-    counts = (
-        spread(df.select(text), text)
-        .select(F.explode(tokens(text)).alias("token"))
-        .groupBy("token")
-        .agg(F.count("*").alias("n"))
-    )
-    top = counts.orderBy(F.desc("n"), F.asc("token")).limit(max_size)
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), F.asc("token")))
-    return top.select("token", (place + F.lit(FIRST_ID - 1)).alias("token_id"), "n")
+    if max_size < 1:
+        raise ValueError("max_size must be at least 1")
+    words = df.select(F.explode(tokens(text)).alias("token"))
+    counts = words.groupBy("token").agg(F.count("*").alias("n"))
+    placed = ranked(counts, [], [F.desc("n"), F.asc("token")]).where(F.col("rank") <= max_size)
+    return placed.select("token", (F.col("rank") + F.lit(FIRST_ID - 1)).cast("int").alias("token_id"), "n")
 
 
 def encode(
@@ -45,14 +40,14 @@ def encode(
     Texts are cut before they are taken apart, so at most ``max_len`` small
     rows per text are shuffled. ``n_tokens`` counts the whole text.
     """
-    words = spread(df.select(row_id, text), row_id).select(row_id, tokens(text).alias("_t"))
+    words = df.select(row_id, tokens(text).alias("_t"))
     parts = words.select(
         row_id,
         F.size("_t").alias("n_tokens"),
         F.posexplode_outer(F.slice("_t", 1, max_len)).alias("_pos", "token"),
     )
     ids = vocab.select("token", "token_id")
-    looked_up = parts.join(F.broadcast(ids), "token", "left")
+    looked_up = parts.join(ids, "token", "left")
     entry = F.when(
         F.col("_pos").isNotNull(),
         F.struct("_pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("id")),
@@ -73,32 +68,40 @@ def mean_pool(
     text: str,
     vectors: DataFrame,
     dim: int,
-    max_vectors: int,
     max_len: int | None = None,
     row_id: str = "row_id",
+    key: Callable[[Column], Column] = lambda token: token,
 ) -> DataFrame:
-    """(row_id, vector): mean of the vectors of a text's tokens.
-
-    ``vectors`` is (token, v) with at most ``max_vectors`` rows of ``dim``
-    numbers; it is broadcast when that bound is small enough. Tokens without a
-    vector are left out of the mean, and a text with none has no row. The sums
-    run as plain aggregates, one per dimension, combined before the shuffle.
-    ``max_len`` cuts texts to their first tokens, as an encoder would; by default
-    the whole text counts.
+    """(row_id, vector): mean of the vectors of a text's tokens, a row for every text.
+
+    ``vectors`` is (token, v) with ``dim`` numbers each; with ``key``, its tokens are
+    what ``key`` makes of a text's tokens. Tokens without a vector are left out of the
+    mean, and the vector of a text with none is missing. The sums run as plain
+    aggregates, one per dimension. ``max_len`` cuts texts to their first tokens, as an encoder would; by default the whole text counts.
     """
     words = tokens(text)
     if max_len is not None:
         words = F.slice(words, 1, max_len)
-    table = vectors.select("token", "v")
-    if max_vectors * dim * 8 <= BROADCAST_BYTES:
-        table = F.broadcast(table)
-    texts = spread(df.select(row_id, text), row_id)
-    found = texts.select(row_id, F.explode(words).alias("token")).join(table, "token")
-    sums = found.groupBy(row_id).agg(
-        F.count("*").alias("_n"),
-        *[F.sum(F.col("v")[i].cast("double")).alias(f"_{i}") for i in range(dim)],
+    table = vectors.select(F.col("token").alias("_key"), "v")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = df.select(row_id, text).repartition(n, row_id)  # the one shuffle: counts and sums stay where a text is
+    parts = texts.select(row_id, F.explode_outer(words).alias("_token")).withColumn("_key", key(F.col("_token")))
+    parts = parts.groupBy(row_id, "_key").agg(F.count("_token").alias("_c"))
+    sums = parts.join(table, "_key", "left").groupBy(row_id).agg(
+        F.sum(F.when(F.col("v").isNotNull(), F.col("_c")).otherwise(0)).alias("_n"),
+        *[F.sum(F.col("v")[i].cast("double") * F.col("_c")).alias(f"_{i}") for i in range(dim)],
     )
-    return sums.select(row_id, F.array(*[F.col(f"_{i}") / F.col("_n") for i in range(dim)]).alias("vector"))
+    mean = F.array(*[F.col(f"_{i}") / F.col("_n") for i in range(dim)])
+    return sums.select(row_id, F.when(F.col("_n") > 0, mean).alias("vector"))
+
+
+def tf_idf(df: DataFrame, text: str, vocab: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """(row_id, token, weight): counts of vocabulary tokens times ln((rows + 1) / (rows with the token + 1))."""
+    words = df.select(row_id, F.explode(tokens(text)).alias("token"))
+    counts = words.groupBy(row_id, "token").agg(F.count("*").alias("_n")).join(vocab.select("token"), "token")
+    total = df.agg(F.count("*")).first()[0]
+    idf = counts.groupBy("token").agg(F.log((F.lit(total) + 1) / (F.count("*") + 1)).alias("_w"))
+    return counts.join(idf, "token").select(row_id, "token", (F.col("_n") * F.col("_w")).alias("weight"))
 
 
 def fit_text_features(df: DataFrame, text: str, size: int = 1 << 16) -> PipelineModel:
@@ -112,11 +115,11 @@ def fit_text_features(df: DataFrame, text: str, size: int = 1 << 16) -> Pipeline
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="features", p=2.0),
     ]
-    return Pipeline(stages=stages).fit(spread(df, text).withColumn(text, text_or_empty(text)))
+    return Pipeline(stages=stages).fit(df.withColumn(text, text_or_empty(text)))
 
 
 def text_features(df: DataFrame, model: PipelineModel, text: str) -> DataFrame:
-    ready = spread(df, text).withColumn(text, text_or_empty(text))
+    ready = df.withColumn(text, text_or_empty(text))
     return model.transform(ready).drop("_words", "_tf", "_idf")
 
 
@@ -125,6 +128,6 @@ def fit_word_vectors(df: DataFrame, text: str, dim: int = 64, seed: int = 42, mi
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
-    words = spread(df.select(text), text).select(tokens(text).alias("_w"))
+    words = df.select(tokens(text).alias("_w"))
     model = Word2Vec(vectorSize=dim, seed=seed, minCount=min_count, inputCol="_w", outputCol="_o").fit(words)
     return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("v"))

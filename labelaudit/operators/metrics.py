@@ -14,6 +14,8 @@ from labelaudit.functions.expressions import decide
 from labelaudit.operators.ordering import running_totals
 from labelaudit.session import settle
 
+_OUTSIDE = "label outside the expected set"
+
 
 def ratio(top: Column, bottom: Column) -> Column:
     """Division that gives 0 for an empty denominator."""
@@ -42,7 +44,7 @@ def confusion(preds: DataFrame, by: Sequence[str] = (), labels: Sequence[int] =
             F.lit(p).alias("predicted_label"),
             F.when(
                 F.col("_other") > 0,
-                F.raise_error(F.lit("label outside the expected set")).cast("bigint"),
+                F.raise_error(F.lit(_OUTSIDE)).cast("bigint"),
             )
             .otherwise(F.col(f"_{t}_{p}"))
             .alias("n"),
@@ -62,13 +64,20 @@ def _quadrants(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
         hit = (F.col("true_label") == true) & (F.col("predicted_label") == predicted)
         return F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0))
 
-    return pairs.groupBy(*by).agg(
-        cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(0, 0).alias("tn")
+    known = F.col("true_label").isin(0, 1) & F.col("predicted_label").isin(0, 1)
+    counted = pairs.groupBy(*by).agg(
+        cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(0, 0).alias("tn"),
+        F.count_if(~F.coalesce(known, F.lit(False))).alias("_other"),
     )
+    checked = F.when(F.col("_other") > 0, F.raise_error(F.lit(_OUTSIDE)).cast("bigint"))
+    return counted.withColumn("tp", checked.otherwise(F.col("tp"))).drop("_other")
 
 
 def binary_metrics(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Counts, accuracy, precision, recall, F1 and balanced accuracy of class 1."""
+    """Counts, accuracy, precision, recall, F1 and balanced accuracy of class 1.
+
+    Fails when a label or prediction is missing or neither 0 nor 1, as :func:`confusion`.
+    """
     return _binary(_pairs(preds, by), by)
 
 
@@ -203,16 +212,19 @@ def log_loss(
     by: Sequence[str] = (),
     eps: float = 1e-15,
 ) -> DataFrame:
-    """Mean negative log likelihood, weighted by ``weights`` (true_label, weight) when given."""
+    """Mean negative log likelihood, weighted by ``weights`` (true_label, weight) when given.
+
+    Fails on a label that is missing or neither 0 nor 1, and on one without a weight.
+    """
+    label = F.col("true_label")
     p = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col("probability")))
-    nll = -F.when(F.col("true_label") == 1, F.log(p)).otherwise(F.log(1 - p))
+    other = F.raise_error(F.lit(_OUTSIDE)).cast("double")
+    nll = -F.when(label == 1, F.log(p)).when(label == 0, F.log(1 - p)).otherwise(other)
     if weights is None:
         return preds.groupBy(*by).agg(F.avg(nll).alias("log_loss"))
-    # one row per class
-    joined = preds.join(F.broadcast(weights.select("true_label", "weight")), "true_label")
-    return joined.groupBy(*by).agg(
-        ratio(F.sum(F.col("weight") * nll), F.sum("weight")).alias("log_loss")
-    )
+    joined = preds.join(weights.select("true_label", F.col("weight").alias("_w")), "true_label", "left")
+    weight = F.coalesce("_w", F.raise_error(F.lit("a class has no weight")).cast("double"))
+    return joined.groupBy(*by).agg(ratio(F.sum(weight * nll), F.sum(weight)).alias("log_loss"))
 
 
 _COMPARED = ("accuracy", "precision", "recall", "f1", "balanced_accuracy")
@@ -221,7 +233,7 @@ _COMPARED = ("accuracy", "precision", "recall", "f1", "balanced_accuracy")
 def compare_variants(preds: DataFrame, variant: str, baseline: str, candidate: str) -> DataFrame:
     """Each metric for two variants and the difference, one row per metric."""
     two = preds.where(F.col(variant).isin(baseline, candidate))
-    scores = binary_metrics(two, [variant]).join(roc_auc(two, [variant]), variant)
+    scores = binary_metrics(two, [variant]).join(roc_auc(two, [variant]), variant, "left")
     names = [*_COMPARED, "auc"]
     rows = [F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names]
     long = scores.select(variant, F.inline(F.array(*rows)))

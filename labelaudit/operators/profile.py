@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelaudit.operators.ordering import exact_quantiles
-from labelaudit.session import small
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -147,8 +146,13 @@ def crosstab_topk(
     )
 
 
-def widen(long: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFrame:
-    """Crosstab in wide form with zeros for pairs that never occur."""
+def widen(long: DataFrame, row: str, col: str, values: Sequence[str] | None = None) -> DataFrame:
+    """Crosstab in wide form with zeros for pairs that never occur.
+
+    Without ``values`` every value of ``long`` becomes a column: its top-k list bounds them.
+    """
+    if values is None:
+        values = sorted(r[0] for r in long.select(col).distinct().collect())
     return long.groupBy(row).pivot(col, list(values)).agg(F.sum("n")).na.fill(0)
 
 
@@ -175,7 +179,7 @@ def box_stats(df: DataFrame, by: str, value: str, whisker: float = 1.5) -> DataF
     inside = v.between(F.col("q25") - reach, F.col("q75") + reach)
     present = df.select(by, value).where(F.col(value).isNotNull() & ~F.isnan(v))
     return (
-        present.join(small(quartiles), by)
+        present.join(quartiles, by)
         .groupBy(by, "q25", "q50", "q75")
         .agg(
             F.min(F.when(inside, v)).alias("whisker_low"),

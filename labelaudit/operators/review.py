@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from labelaudit.functions.expressions import changed, matches_note, text_key
-from labelaudit.operators.assemble import exclude
+from labelaudit.operators.assemble import exclude, salted_join
 from labelaudit.sources.schemas import REVIEWED
 from labelaudit.sources.tables import read_or_empty
 
@@ -80,25 +80,31 @@ def latest_decisions(reviewed: DataFrame) -> DataFrame:
     )
 
 
-def pending(suspects: DataFrame, reviewed: DataFrame, text: str = "text") -> DataFrame:
+def pending(
+    suspects: DataFrame, reviewed: DataFrame, text: str = "text", row_id: str | None = None
+) -> DataFrame:
     """Suspects whose text has no decision yet."""
-    return exclude(suspects, reviewed, text, "text")
+    return exclude(suspects, reviewed, text, "text", row_id)
 
 
 def next_batch(
-    suspects: DataFrame, reviewed: DataFrame, order: Sequence[Column | str], n: int = 10
+    suspects: DataFrame,
+    reviewed: DataFrame,
+    order: Sequence[Column | str],
+    n: int = 10,
+    row_id: str | None = None,
 ) -> DataFrame:
     """The first ``n`` pending suspects. ``order`` must end with a unique key."""
-    return pending(suspects, reviewed).orderBy(*order).limit(n)
+    return pending(suspects, reviewed, row_id=row_id).orderBy(*order).limit(n)
 
 
-def review_stats(suspects: DataFrame, reviewed: DataFrame) -> DataFrame:
+def review_stats(suspects: DataFrame, reviewed: DataFrame, row_id: str | None = None) -> DataFrame:
     """Decisions, changed labels with their percentage, and suspects still open.
 
     Open suspects are counted, so the number never goes below zero.
     """
     is_changed = changed("given_label", "final_label")
-    left = pending(suspects, reviewed).agg(F.count("*")).scalar()
+    left = pending(suspects, reviewed, row_id=row_id).agg(F.count("*")).scalar()
     return reviewed.agg(
         F.count("*").alias("n_reviewed"),
         F.count_if(is_changed).alias("n_changed"),
@@ -107,20 +113,23 @@ def review_stats(suspects: DataFrame, reviewed: DataFrame) -> DataFrame:
 
 
 def apply_corrections(
-    corpus: DataFrame, reviewed: DataFrame, content: str = "content", label: str = "label"
+    corpus: DataFrame,
+    reviewed: DataFrame,
+    content: str = "content",
+    label: str = "label",
+    row_id: str = "row_id",
 ) -> DataFrame:
     """Reviewed labels override the given ones; the row count never changes.
 
     Decisions are first reduced to one per text, so a text reviewed twice does
-    not multiply rows, and every other column stays with its row.
+    not multiply rows, and every other column stays with its row. Texts are compared
+    on narrow rows; the corpus meets the new labels by ``row_id``, which is unique.
     """
-    decisions = latest_decisions(reviewed).select("text_key", "final_label")
-    return (
-        corpus.withColumn("text_key", text_key(content))
-        .join(decisions, "text_key", "left")
-        .withColumn(label, F.coalesce("final_label", label))
-        .drop("text_key", "final_label")
-    )
+    decisions = latest_decisions(reviewed).select("text_key", F.col("final_label").alias("_final"))
+    narrow = corpus.where(F.col(content).isNotNull()).select(row_id, text_key(content).alias("text_key"))
+    new = salted_join(narrow, decisions, "text_key", row_id).select(row_id, "_final")
+    fixed = corpus.join(new, row_id, "left").withColumn(label, F.coalesce("_final", label))
+    return fixed.select(*corpus.columns)
 
 
 def corrected_corpus(
@@ -130,6 +139,7 @@ def corrected_corpus(
     near_copies: DataFrame,
     content: str = "content",
     label: str = "label",
+    row_id: str = "row_id",
 ) -> DataFrame:
     """Corrections applied; open suspects and near copies removed by text.
 
@@ -138,6 +148,6 @@ def corrected_corpus(
     """
     kept = usable(reviewed)
     open_cases = pending(suspects, kept)
-    fixed = apply_corrections(corpus, kept, content, label)
+    fixed = apply_corrections(corpus, kept, content, label, row_id)
     unwanted = open_cases.select("text").union(near_copies.select("text"))
-    return exclude(fixed, unwanted, content, "text")
+    return exclude(fixed, unwanted, content, "text", row_id)

@@ -62,14 +62,3 @@ def param_grid(spark: SparkSession, axes: Mapping[str, Sequence]) -> DataFrame:
             F.posexplode(F.array(*[F.lit(v) for v in values])).alias("_i", name),
         ).withColumn("trial", F.col("trial") * n + F.col("_i")).drop("_i")
     return one.select((F.col("trial") + 1).alias("trial"), *axes)
-
-
-def grid_of(df: DataFrame, axes: Sequence[str]) -> DataFrame:
-    """All combinations of the distinct values found in the columns ``axes``.
-
-    Meant for columns of settings, which hold few values each.
-    """
-    sets = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in axes])
-    for c in axes:
-        sets = sets.withColumn(c, F.explode(c))
-    return sets

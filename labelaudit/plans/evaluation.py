@@ -274,10 +274,14 @@ def best_trial(spark, sf):
     "param_grid",
     V.PREDS,
     """axes AS (SELECT model, dataset, round(probability, 1) AS threshold FROM preds)""",
-    """SELECT m.model, d.dataset, t.threshold FROM (SELECT DISTINCT model FROM axes) m,
+    """SELECT CAST(row_number() OVER (ORDER BY m.model, d.dataset, t.threshold) AS INTEGER) AS trial,
+              m.model, d.dataset, t.threshold FROM (SELECT DISTINCT model FROM axes) m,
               (SELECT DISTINCT dataset FROM axes) d, (SELECT DISTINCT threshold FROM axes) t""",
 )
 def param_grid(spark, sf):
     """Every setting seen in the predictions, combined."""
     seen = V.preds(spark, sf).select("model", "dataset", F.round("probability", 1).alias("threshold"))
-    return K.grid_of(seen, ["model", "dataset", "threshold"])
+    names = ["model", "dataset", "threshold"]
+    # axes hold few values each: two models, two sets, eleven thresholds
+    axes = {n: sorted(r[0] for r in seen.select(n).distinct().collect()) for n in names}
+    return K.param_grid(spark, axes)

@@ -112,7 +112,7 @@ def _top(column: str, k: int, where: str) -> str:
 
 _CROSSTAB = f"""pairs AS (
   SELECT term, ingroup, count(*) AS n FROM corpus
-  WHERE term IN ({_top('term', 10, 'label = 1')}) AND ingroup IN ({_top('ingroup', 3, 'TRUE')})
+  WHERE term IN ({_top('term', 10, 'label = 1')}) AND ingroup IN ({_top('ingroup', 10, 'TRUE')})
   GROUP BY term, ingroup)"""
 
 
@@ -120,22 +120,23 @@ _CROSSTAB = f"""pairs AS (
 def crosstab_topk(spark, sf):
     """Row list from positives, column list and counts from all rows."""
     return P.crosstab_topk(
-        V.corpus(spark, sf), "term", "ingroup", 10, 3, row_filter=F.col("label") == 1
+        V.corpus(spark, sf), "term", "ingroup", 10, 10, row_filter=F.col("label") == 1
     ).select("term", "ingroup", "n")
 
 
 @query(
     "crosstab_wide",
     V.CORPUS,
-    """SELECT term, count(*) FILTER (WHERE ingroup = 'en') AS en, count(*) FILTER (WHERE ingroup = 'fr') AS fr,
-              count(*) FILTER (WHERE ingroup = 'de') AS de FROM corpus
-       WHERE ingroup IN ('en', 'fr', 'de') AND term IN (""" + _top("term", 10, "label = 1") + ") GROUP BY term",
+    _CROSSTAB,
+    """SELECT term, CAST(coalesce(sum(n) FILTER (WHERE ingroup = 'de'), 0) AS BIGINT) AS de,
+              CAST(coalesce(sum(n) FILTER (WHERE ingroup = 'en'), 0) AS BIGINT) AS en,
+              CAST(coalesce(sum(n) FILTER (WHERE ingroup = 'es'), 0) AS BIGINT) AS es,
+              CAST(coalesce(sum(n) FILTER (WHERE ingroup = 'fr'), 0) AS BIGINT) AS fr
+       FROM pairs GROUP BY term""",
 )
 def crosstab_wide(spark, sf):
-    rows = V.corpus(spark, sf).where(F.col("ingroup").isin("en", "fr", "de"))
-    top = F.broadcast(P.top_k(V.corpus(spark, sf).where("label = 1"), "term", 10).select("term"))
-    long = rows.join(top, "term", "left_semi").groupBy("term", "ingroup").agg(F.count("*").alias("n"))
-    return P.widen(long, "term", "ingroup", ["en", "fr", "de"])
+    """The crosstab above in wide form, a column for every value in its list."""
+    return P.widen(crosstab_topk(spark, sf), "term", "ingroup")
 
 
 @query(

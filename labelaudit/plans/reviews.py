@@ -220,7 +220,7 @@ def review_changed(spark, sf):
        WHERE text NOT IN (SELECT text FROM reviewed WHERE text IS NOT NULL)""",
 )
 def review_pending(spark, sf):
-    out = W.pending(V.suspects(spark, sf), V.reviewed(spark, sf))
+    out = W.pending(V.suspects(spark, sf), V.reviewed(spark, sf), row_id="doc_id")
     return out.select("doc_id", "given_label", "suggested_label", r6("label_score"))
 
 
@@ -234,7 +234,7 @@ def review_pending(spark, sf):
 )
 def review_next_batch(spark, sf):
     order = [F.desc("label_score"), F.asc("doc_id")]
-    out = W.next_batch(V.suspects(spark, sf), V.reviewed(spark, sf), order, 10)
+    out = W.next_batch(V.suspects(spark, sf), V.reviewed(spark, sf), order, 10, "doc_id")
     return out.select("doc_id", "given_label", "suggested_label", r6("label_score"))
 
 
@@ -310,7 +310,7 @@ def review_stream(spark, sf):
        FROM reviewed""",
 )
 def review_stats(spark, sf):
-    out = W.review_stats(V.suspects(spark, sf), V.reviewed(spark, sf))
+    out = W.review_stats(V.suspects(spark, sf), V.reviewed(spark, sf), "doc_id")
     return out.select("n_reviewed", "n_changed", r6("pct_changed"), "n_remaining")
 
 
@@ -337,5 +337,5 @@ def apply_corrections(spark, sf):
          SELECT text FROM suspects WHERE text NOT IN (SELECT text FROM reviewed WHERE text IS NOT NULL))""",
 )
 def exclude_unreviewed(spark, sf):
-    open_cases = W.pending(V.suspects(spark, sf), V.reviewed(spark, sf))
-    return exclude(V.corpus(spark, sf), open_cases, "content", "text").select("row_id", "term", "label")
+    open_cases = W.pending(V.suspects(spark, sf), V.reviewed(spark, sf), row_id="doc_id")
+    return exclude(V.corpus(spark, sf), open_cases, "content", "text", "row_id").select("row_id", "term", "label")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from labelaudit.operators import confident as C, features as X, neighbours as N
+from labelaudit.operators.ordering import ranked
 from labelaudit.operators.profile import null_profile
 from labelaudit.plans import views as V
 from labelaudit.plans.registry import query, r6
@@ -56,35 +57,40 @@ def encode_fixed_length(spark, sf):
 
 # --- document vectors ---------------------------------------------------------------------------
 
-_DIM, _VECTORS = 64, 500
+_DIM = 64
+# A token takes the given vector whose place is the token's hash modulo their number.
 _POOLED = """toks AS (SELECT row_id, unnest(toks) AS token FROM words),
+places AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS slot, embedding FROM embeddings),
+numbers AS (SELECT slot, d, CAST(embedding[d] AS DOUBLE) AS x FROM places, (SELECT unnest(range(1, 65)) AS d)),
 hits AS (
-  SELECT t.row_id, e.embedding FROM toks t JOIN vocab v ON t.token = v.token
-  JOIN embeddings e ON e.vec_id = v.token_id - 2),
-dims AS (
-  SELECT row_id, d, avg(CAST(embedding[d] AS DOUBLE)) AS x
-  FROM hits, (SELECT unnest(range(1, 65)) AS d) GROUP BY row_id, d)"""
+  SELECT row_id, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % (SELECT count(*) FROM embeddings) AS slot, count(*) AS n
+  FROM toks GROUP BY 1, 2),
+dims AS (SELECT row_id, d, sum(n * x) / sum(n) AS x FROM hits JOIN numbers ON hits.slot = numbers.slot GROUP BY row_id, d)"""
 
 
-def _doc_vectors(spark, sf) -> DataFrame:
-    """Mean of the vectors of a text's tokens; the n-th token takes the n-th given vector."""
-    docs = _docs(spark, sf)
-    vocab = X.build_vocab(docs, "content", _VECTORS)
-    given = read_table(spark, sf, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("v"))
-    vectors = vocab.join(given, F.col("token_id") - X.FIRST_ID == F.col("vec_id")).select("token", "v")
-    return X.mean_pool(docs, "content", vectors, _DIM, _VECTORS)
+def _pooled(spark, sf, docs: DataFrame) -> DataFrame:
+    """Mean of the vectors of a text's tokens, for every text of ``docs``."""
+    given = read_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    places = ranked(given.select("vec_id"), [], ["vec_id"], name="place")
+    n = places.count()
+    vectors = given.join(places, "vec_id").select((F.col("place") - 1).alias("token"), "v")
 
+    def slot(token):
+        return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint") % n
 
-def _doc_knn(spark, sf) -> DataFrame:
-    # stored, as the search reads its input several times
-    return N.knn(store(_doc_vectors(spark, sf), "document-vectors"), "vector", 10)
+    return X.mean_pool(docs, "content", vectors, _DIM, key=slot)
 
 
-@query("mean_pool", _WORDS, _vocab_sql(_VECTORS), _POOLED,
-       "SELECT row_id, CAST(d - 1 AS INTEGER) AS dim, round(x, 6) AS x FROM dims")
+def _doc_vectors(spark, sf) -> DataFrame:
+    return _pooled(spark, sf, _docs(spark, sf))
+
+
+@query("mean_pool", _WORDS, _POOLED,
+       """SELECT w.row_id, CAST(d - 1 AS INTEGER) AS dim, round(x, 6) AS x FROM words w LEFT JOIN dims ON w.row_id = dims.row_id""")
 def mean_pool(spark, sf):
+    """Every document; one without tokens has a row without a vector."""
     pooled = _doc_vectors(spark, sf)
-    return pooled.select("row_id", F.posexplode("vector").alias("dim", "x")).select("row_id", "dim", r6("x"))
+    return pooled.select("row_id", F.posexplode_outer("vector").alias("dim", "x")).select("row_id", "dim", r6("x"))
 
 
 # --- neighbours -----------------------------------------------------------------------------------
@@ -112,8 +118,12 @@ near AS (
   ON k.row_id = p.row_id WHERE k.place = 1)"""
 
 
+# Blocks small enough that the given tables fill several cells and blocks.
+_GIVEN_BLOCK, _DOC_BLOCK = 256, 1024
+
+
 def _given_knn(spark, sf) -> DataFrame:
-    return N.knn(read_table(spark, sf, "embeddings"), "embedding", 10, "vec_id")
+    return N.knn(read_table(spark, sf, "embeddings"), "embedding", 10, "vec_id", _GIVEN_BLOCK)
 
 
 @query("knn_cosine", _GIVEN, _knn_sql("given"),
@@ -159,10 +169,15 @@ def exclude_near_dups(spark, sf):
 _PACKED = """packed AS (SELECT row_id, list(x ORDER BY d) AS v FROM dims GROUP BY row_id)"""
 
 
-@query("near_dup_text", _WORDS, _vocab_sql(_VECTORS), _POOLED, _PACKED, _knn_sql("packed"), _near_sql(0.13), _NEAR_OUT)
+def near_texts(vectors: DataFrame) -> DataFrame:
+    """Near copies among document vectors, by a search within the usual radius."""
+    return N.near_copies(vectors, "vector", block=_DOC_BLOCK)
+
+
+@query("near_dup_text", _WORDS, _POOLED, _PACKED, _knn_sql("packed"), _near_sql(0.13), _NEAR_OUT)
 def near_dup_text(spark, sf):
     """Near copies among texts: mean-pooled vectors, the usual radius, every document."""
-    return _near_out(N.near_duplicates(_doc_knn(spark, sf)))
+    return _near_out(near_texts(store(_doc_vectors(spark, sf), "document-vectors")))
 
 
 _OUTLIERS = """means AS (SELECT row_id, avg(distance) AS m FROM knn GROUP BY row_id)"""
@@ -188,45 +203,48 @@ def knn_outliers(spark, sf):
     _JOINT,
     _RATES,
     _FLAGGED,
-    _GIVEN,
-    _knn_sql("given"),
-    _near_sql(_WIDE),
+    _WORDS,
+    _POOLED,
+    _PACKED,
+    """own_vectors AS (SELECT p.row_id, p.v FROM packed p JOIN scores s ON p.row_id = s.row_id)""",
+    _knn_sql("own_vectors"),
+    _near_sql(0.13),
     _OUTLIERS,
     """own AS (SELECT term, CASE WHEN label = 1 THEN p1 ELSE p0 END AS s FROM scores),
        groups AS (SELECT avg(s) / (SELECT avg(s) FROM own) AS r FROM own GROUP BY term),
-       sizes AS (SELECT count(*) AS n FROM scores GROUP BY label)""",
+       sizes AS (SELECT count(*) AS n FROM scores WHERE label IS NOT NULL GROUP BY label),
+       all_rows AS (SELECT count(*) AS n FROM scores)""",
     """SELECT 'label' AS "check", (SELECT count(*) FROM flagged) AS n_issues,
               round(CAST((SELECT count(*) FROM flagged) AS DOUBLE) / (SELECT count(*) FROM scores), 6) AS score
        UNION ALL SELECT 'near_duplicate', count(*) FILTER (WHERE is_near_duplicate),
               round(CAST(count(*) FILTER (WHERE is_near_duplicate) AS DOUBLE) / count(*), 6) FROM near
        UNION ALL SELECT 'outlier', count(*) FILTER (WHERE m > 2 * (SELECT median(m) FROM means)),
               round(CAST(count(*) FILTER (WHERE m > 2 * (SELECT median(m) FROM means)) AS DOUBLE) / count(*), 6) FROM means
-       UNION ALL SELECT 'null', count(*) FILTER (WHERE v IS NULL), round(CAST(count(*) FILTER (WHERE v IS NULL) AS DOUBLE) / count(*), 6) FROM given
+       UNION ALL SELECT 'null', (SELECT n FROM all_rows) - (SELECT count(*) FROM own_vectors),
+              round(CAST((SELECT n FROM all_rows) - (SELECT count(*) FROM own_vectors) AS DOUBLE) / (SELECT n FROM all_rows), 6)
        UNION ALL SELECT 'class_imbalance', CASE WHEN min(n) / sum(n) < 0.1 / count(*) THEN min(n) ELSE 0 END,
               round(CAST(min(n) AS DOUBLE) / CAST(sum(n) AS DOUBLE), 6) FROM sizes
        UNION ALL SELECT 'underperforming_group', count(*) FILTER (WHERE r < 0.9), round(min(r), 6) FROM groups""",
 )
 def quality_report(spark, sf):
-    return quality_checks(
-        V.scores(spark, sf),
-        read_table(spark, sf, "embeddings").select("vec_id", "embedding"),
-        "vec_id",
-        "embedding",
-        "term",
-        factor=_WIDE,
-    ).select("check", "n_issues", r6("score"))
+    """All checks on one set of rows: the scored documents, with their vectors."""
+    scored = V.scores(spark, sf)
+    rows = store(scored.join(_doc_vectors(spark, sf), "row_id", "left"), "scored")
+    return quality_checks(rows, "vector", "term", block=_DOC_BLOCK).select("check", "n_issues", r6("score"))
 
 
 def quality_checks(
-    scores: DataFrame, vectors: DataFrame, vector_id: str, vector: str, group: str,
-    k: int = 10, factor: float = 0.13, group_floor: float = 0.9,
+    rows: DataFrame, vector: str, group: str, k: int = 10, factor: float = 0.13, group_floor: float = 0.9,
+    block: int = N.BLOCK,
 ) -> DataFrame:
     """One row per check: name, number of issues, and its score (a share unless noted).
 
-    ``score`` of ``underperforming_group`` is the lowest mean self-confidence of
-    a group relative to all rows, and its issues are groups under ``group_floor``.
+    ``rows`` holds row_id, label, p, the vector and the group. ``score`` of
+    ``underperforming_group`` is the lowest mean self-confidence of a group relative
+    to all rows, and its issues are groups under ``group_floor``.
     """
-    near = N.knn(vectors, vector, k, vector_id)
+    scores = rows.drop(vector)
+    near = N.knn(rows, vector, k, block=block)
 
     def share(name: str, flags: DataFrame, flag: str) -> DataFrame:
         hits = F.count_if(F.col(flag))
@@ -237,7 +255,7 @@ def quality_checks(
     n_rows = scores.agg(F.count("*")).scalar()
     n_found = C.suspects(scores).agg(F.count("*").alias("n_issues"))
     label = n_found.select(F.lit("label").alias("check"), "n_issues", (F.col("n_issues") / n_rows).alias("score"))
-    present = null_profile(vectors.select(vector))
+    present = null_profile(rows.select(vector))
     nulls = present.select(
         F.lit("null").alias("check"),
         (F.col("n_rows") - F.col("n_present")).alias("n_issues"),

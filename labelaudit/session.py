@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-SPLIT_BYTES = 32 * 1024 * 1024
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -20,16 +20,18 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local master without that setting gets a folder of its own; a
-    cluster without one is a configuration error, since a folder on one machine
-    is lost with that machine.
+    Only a local master without that setting gets a folder of its own, which goes
+    when the program ends. A cluster without one, or with one on a single machine,
+    is a configuration error, since such a folder is lost with its machine.
     """
     context = spark.sparkContext
+    local = context.master.startswith("local")
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not local and (folder is None or folder.startswith("file:")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="labelaudit-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -56,22 +58,3 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Mark ``df`` for broadcast when it has at most ``limit`` rows, counted here."""
-    kept = settle(df)
-    return F.broadcast(kept) if kept.limit(limit + 1).count() <= limit else kept
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table too small to be split among them when read.
-
-    Meant for work that is heavy per row, such as taking texts apart. Only the
-    planner's size estimate is asked, so nothing runs here. It is exact for a
-    plain scan and too high after a join, and a large table is left as it is.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, key) if size < cores * SPLIT_BYTES else df

@@ -90,8 +90,9 @@ def normalize_columns(df: DataFrame, aliases: dict[str, str] = COLUMN_ALIASES) -
 def _convert(name: str, source: T.DataType, target: T.DataType):
     c = F.col(f"`{name}`")
     if isinstance(target, T.IntegerType) and isinstance(source, T.StringType):
-        # labels stored as "1.0" by a writer that knows only floats
-        return F.coalesce(c.try_cast("int"), c.try_cast("double").try_cast("int"))
+        # labels stored as "1.0" by a writer that knows only floats; "1.7" is no label
+        real = c.try_cast("double")
+        return F.coalesce(F.when(~c.contains("."), c.try_cast("int")), F.when(real == F.floor(real), real.try_cast("int")))
     if isinstance(source, (T.FloatType, T.DoubleType)):
         c = F.when(~F.isnan(c), c)
     return c.try_cast(target)

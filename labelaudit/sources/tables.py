@@ -25,6 +25,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("mode", "FAILFAST")
         .csv(path)
     )
@@ -58,6 +60,7 @@ def write_table(
         writer = writer.partitionBy(*partition_by)
     if format == "csv":
         writer = writer.option("header", True).option("quote", '"').option("escape", '"')
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.save(path)
 
 

@@ -17,17 +17,18 @@ def read_decisions(spark: SparkSession, folder: str, files_per_batch: int = 1000
 
 
 def without_redelivery(decisions: DataFrame, delay: str) -> DataFrame:
-    """Drop repeats of the same decision that arrive within ``delay`` of each other.
+    """Drop repeats of the same delivery that arrive within ``delay`` of each other.
 
-    The state is bounded by the watermark. A decision older than the watermark
+    The state is bounded by the watermark. A delivery older than the watermark
     is dropped by Spark, so use this only where ``delay`` covers every delivery;
     the ledger needs it only to stay small, because reading it keeps the latest
     decision per text anyway.
     """
+    same = F.sha2(F.to_json(F.struct(*decisions.columns)), 256)
     return (
-        decisions.withColumn("_k", F.sha2("text", 256))
+        decisions.withColumn("_k", same)
         .withWatermark("review_date", delay)
-        .dropDuplicatesWithinWatermark(["_k", "review_date", "final_label"])
+        .dropDuplicatesWithinWatermark(["_k"])
         .drop("_k")
     )
 
@@ -43,26 +44,23 @@ def stream_decisions(
 ) -> StreamingQuery:
     """Process every file now in ``folder``, then stop.
 
-    Each micro-batch writes its own ``batch`` partition in overwrite mode, so a
-    batch that is run again after a failure replaces its rows instead of adding
-    them twice. ``progress`` is the stream's checkpoint folder; it must be shared.
+    Each micro-batch writes its own partition, named by the query's id, which lives in
+    ``progress``, and the batch, in overwrite mode: a batch that is run again after a
+    failure replaces its rows instead of adding them twice, and a new ``progress`` folder
+    never touches what an older one wrote. ``progress`` is the stream's checkpoint folder;
+    it must be shared. Invalid decisions go to ``rejects`` with their reason.
     """
     raw = read_decisions(spark, folder, files_per_batch)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         good, bad = conform_decisions(batch)
-        good.write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        good.write.mode("overwrite").parquet(f"{ledger}/run={run}/batch={batch_id}")
+        bad.write.mode("overwrite").parquet(f"{rejects}/run={run}/batch={batch_id}")
 
-    def write_valid(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
-
-    if delay is None:
-        stream, sink = raw, write
-    else:
-        stream, sink = without_redelivery(conform_decisions(raw)[0], delay), write_valid
+    stream = raw if delay is None else without_redelivery(raw, delay)
     return (
-        stream.writeStream.foreachBatch(sink)
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()

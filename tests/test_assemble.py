@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from labelaudit.operators import assemble as A, profile as P
 
 SCHEMA = "row_id long, content string, label int"
@@ -88,3 +90,17 @@ def test_class_weights(spark):
 def test_widen_fills_zeros(spark):
     long = spark.createDataFrame([("r1", "a", 2), ("r2", "b", 3)], "r string, c string, n long")
     assert sorted(map(tuple, P.widen(long, "r", "c", ["a", "b"]).collect())) == [("r1", 2, 0), ("r2", 0, 3)]
+
+
+def test_a_text_held_by_a_third_of_the_rows(spark):
+    """Joins by text stay exact, with and without row ids, when one text is everywhere."""
+    df = spark.range(3000).select(
+        F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("content")
+    )
+    some = spark.createDataFrame([("same",), ("t1",)], "text string")
+    assert ids(A.duplicate_members(df, ["content"])) == list(range(0, 3000, 3))
+    want = [i for i in range(3000) if i % 3 and i != 1]
+    assert ids(A.exclude(df, some, "content", "text")) == ids(A.exclude(df, some, "content", "text", "row_id")) == want
+    assert ids(A.dedupe(df, ["content"], "row_id")) == [i for i in range(3000) if i % 3 or i == 0]
+    plan = A.duplicate_members(df, ["content"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_key_r" in plan or "_salt_r" in plan

@@ -89,3 +89,20 @@ def test_diff(spark):
     b = spark.createDataFrame([(1, 1, "x"), (2, None, "y"), (4, 1, "z")], "k int, l int, t string")
     got = sorted((r.k, r.column_name, r.before, r.after) for r in M.diff_tables(a, b, "k", ["l", "t"]).collect())
     assert [g[:2] for g in got] == [(1, "l"), (3, "l"), (3, "t"), (4, "l"), (4, "t")]
+
+
+@pytest.mark.parametrize("bad", [(None, 1, 0.5), (2, 1, 0.5), (1, None, 0.5)])
+def test_unknown_labels_are_an_error(spark, bad):
+    df = spark.createDataFrame([(1, 1, 0.9), bad], "true_label int, predicted_label int, probability double")
+    with pytest.raises(Exception, match="outside the expected set"):
+        M.binary_metrics(df).collect()
+    if bad[0] != 1:
+        with pytest.raises(Exception, match="outside the expected set"):
+            M.log_loss(df).collect()
+
+
+def test_a_variant_without_scores_keeps_its_counts(spark):
+    rows = [("a", 1, 1, 0.9), ("a", 0, 0, 0.1), ("b", 1, 1, None), ("b", 0, 1, None)]
+    df = spark.createDataFrame(rows, "v string, true_label int, predicted_label int, probability double")
+    got = {r.metric: (r.baseline, r.candidate) for r in M.compare_variants(df, "v", "a", "b").collect()}
+    assert got["accuracy"] == (1.0, 0.5) and got["auc"] == (1.0, None)

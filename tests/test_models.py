@@ -113,10 +113,24 @@ def test_encoding_has_fixed_length(spark):
 def test_mean_pool_counts_the_whole_text(spark):
     df = spark.createDataFrame([(1, "a b b"), (2, "z"), (3, "b " * 600 + "a")], "row_id int, content string")
     vectors = spark.createDataFrame([("a", [3.0, 0.0]), ("b", [0.0, 3.0])], "token string, v array<double>")
-    got = {r.row_id: r.vector for r in X.mean_pool(df, "content", vectors, 2, 2).collect()}
-    assert got[1] == [1.0, 2.0] and 2 not in got and got[3][0] == pytest.approx(3 / 601)
-    shuffled = X.mean_pool(df, "content", vectors, 2, 10**9).collect()  # too large to broadcast
-    assert {r.row_id: r.vector[0] for r in shuffled} == pytest.approx({k: v[0] for k, v in got.items()})
+    got = {r.row_id: r.vector for r in X.mean_pool(df, "content", vectors, 2).collect()}
+    assert got[1] == [1.0, 2.0] and got[2] is None and got[3][0] == pytest.approx(3 / 601)
+    first = X.mean_pool(df, "content", vectors, 2, max_len=1).collect()
+    assert {r.row_id: r.vector for r in first} == {1: [3.0, 0.0], 2: None, 3: [0.0, 3.0]}
+    slots = spark.createDataFrame([(0, [1.0]), (1, [5.0])], "token int, v array<double>")
+    by_slot = X.mean_pool(df, "content", slots, 1, key=lambda t: F.when(t == "b", 1).otherwise(0)).collect()
+    assert {r.row_id: r.vector[0] for r in by_slot} == pytest.approx({1: 11 / 3, 2: 1.0, 3: 3001 / 601})
+
+
+def test_weights_of_another_table_keep_the_penalty(spark):
+    """The penalty follows the weights that the rows have, not their number."""
+    df, x, y = frame(spark)
+    weights = spark.createDataFrame([(0, 2.0), (1, 7.0)], "label int, weight double")
+    model = L.fit_classifier(df, weights=weights)
+    want = newton(x, y, w=np.where(y == 1, 7.0, 2.0))
+    assert np.append(model.coefficients.toArray(), model.intercept) == pytest.approx(want, abs=1e-3)
+    with pytest.raises(Exception, match="no weight"):
+        L.fit_classifier(df, weights=weights.where("label = 0"))
 
 
 def test_text_features_and_word_vectors(spark):

@@ -103,5 +103,9 @@ def test_stream_equals_batch(spark, tmp_path, delay):
     want = sorted(map(tuple, W.latest_decisions(good).collect()))
     assert sorted(map(tuple, W.latest_decisions(streamed).collect())) == want
     assert streamed.count() == (4 if delay is None else 3)
-    if delay is None:
-        assert spark.read.parquet(folders[0]).count() == 4
+    assert spark.read.parquet(folders[0]).count() == 4
+    # a new progress folder reads the inbox again and touches nothing that is there
+    again = str(tmp_path / "progress2")
+    D.stream_decisions(spark, inbox, ledger, folders[0], again, files_per_batch=1).awaitTermination()
+    assert D.read_streamed_ledger(spark, ledger).count() == streamed.count() + 4
+    assert sorted(map(tuple, W.latest_decisions(D.read_streamed_ledger(spark, ledger)).collect())) == want

@@ -64,12 +64,12 @@ def test_training_log(spark, tmp_path):
 
 def test_conform(spark):
     df = spark.createDataFrame(
-        [("1", "x", float("nan")), ("1.0", "2.5", 1.0), ("bad", None, None)], "label string, score string, p double"
+        [("1", "x", float("nan")), ("1.0", "2.5", 1.0), ("bad", None, None), ("1.7", "3", None)], "label string, score string, p double"
     )
     schema = S.fields(label="int", score="double", p="double")
-    assert [tuple(r) for r in S.conform(df, schema).collect()] == [(1, None, None), (1, 2.5, 1.0), (None, None, None)]
+    assert [tuple(r) for r in S.conform(df, schema).collect()] == [(1, None, None), (1, 2.5, 1.0), (None, None, None), (None, 3.0, None)]
     lost = {r.column_name: (r.n_present, r.n_lost) for r in S.conform_losses(df, schema).collect()}
-    assert lost == {"label": (3, 1), "score": (2, 1), "p": (2, 1)}
+    assert lost == {"label": (4, 2), "score": (3, 1), "p": (2, 1)}
 
 
 def test_columns(spark):
