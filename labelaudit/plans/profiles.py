@@ -267,12 +267,14 @@ def smoothed_total(spark, sf):
 @query(
     "yearly_trend_topk",
     V.TREND,
-    """counts AS (SELECT category, CAST(year(ts) AS INTEGER) AS year, count(*) AS n FROM trend
-                 WHERE category IN (SELECT category FROM trend GROUP BY category ORDER BY count(*) DESC, category LIMIT 3)
+    """positive AS (SELECT * FROM trend WHERE label = 1),
+       counts AS (SELECT category, CAST(year(ts) AS INTEGER) AS year, count(*) AS n FROM positive
+                 WHERE category IN (SELECT category FROM positive GROUP BY category ORDER BY count(*) DESC, category LIMIT 10)
                  GROUP BY 1, 2),
        calendar AS (SELECT category, CAST(unnest(range(min(year), max(year) + 1)) AS INTEGER) AS year FROM counts GROUP BY category)""",
     """SELECT c.category, c.year, COALESCE(k.n, 0) AS n FROM calendar c
        LEFT JOIN counts k ON c.category = k.category AND c.year = k.year""",
 )
 def yearly_trend_topk(spark, sf):
-    return R.yearly_trend(V.trend(spark, sf), "category", "ts", 3)
+    """Positive rows of the ten most frequent categories, by year."""
+    return R.yearly_trend(V.trend(spark, sf).where("label = 1"), "category", "ts", 10)
