@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, types as T
 
 from labelaudit.llm.frames import hidden, map_texts, shown
 
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 LONG = 512
 BLOCK_WORDS = 20_000
 BLOCK_BYTES = 1 << 20
@@ -265,6 +265,22 @@ def decode(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded", vocab
     return shown(made, names, made["decoded"].alias(decoded))
 
 
+def encode_checked(
+    docs: DataFrame, text: str = "text", ids: str = "ids", same: str = "round_trip", vocabulary: tuple[str, str] | None = None
+) -> DataFrame:
+    """All columns of ``docs``, the token ids of each text, and whether they decode to it."""
+    given = vocabulary or production()
+    rows, names = hidden(docs)
+
+    def run(texts: list[bytes]) -> dict[str, list]:
+        packed = codec(*given).encode(texts)
+        back = codec(*given).decode(packed)
+        return {"ids": [np.frombuffer(p, "<u4").astype(np.int32) for p in packed], "same": list(map(bytes.__eq__, texts, back))}
+
+    made = map_texts(rows, names[text], list(rows.columns), "ids array<int>, same boolean", run)
+    return shown(made, names, made["ids"].alias(ids), made["same"].alias(same))
+
+
 def digests(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """``keep`` columns, n_tokens, and digests of the ids and of what they decode to.
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts at the same bytes.
@@ -27,6 +29,16 @@ def shown(df: DataFrame, names: dict[str, str], *more) -> DataFrame:
     return df.select(*[df[new].alias(old) for old, new in names.items() if old not in added], *more)
 
 
+def slices(batch: pa.RecordBatch, column: int = -1, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``size`` bytes of the given text column, so that what is made of it stays small."""
+    lengths = pc.fill_null(pc.binary_length(batch.columns[column]), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(lengths) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(cuts, cuts[1:]):
+        if high > low:
+            yield batch.slice(low, high - low)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; a missing text is empty."""
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
@@ -41,7 +53,7 @@ def map_texts(
 ) -> DataFrame:
     """``keep`` columns of ``docs`` and the columns ``added`` that ``fn`` makes of the texts.
 
-    ``fn`` gets the UTF-8 bytes of one Arrow batch and returns a list per column.
+    ``fn`` gets the UTF-8 bytes of a slice of an Arrow batch and returns a list per column.
     Only the kept columns and the text go through Python.
     """
     rows = docs.select(*[docs[c] for c in keep], docs[text])
@@ -53,7 +65,7 @@ def map_texts(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             made = fn(text_bytes(batch.columns[-1]))
             columns = batch.columns[:-1]
             columns += [pa.array(made[f.name], arrow.field(len(kept) + i).type) for i, f in enumerate(types)]
