@@ -149,9 +149,10 @@ def near_edges(fps: DataFrame, radius: int = 3, bucket: int = 512) -> DataFrame:
         found.append(settle(_bucket_edges(grouped, radius)))
         if last:
             break
-        rows = settle(keyed.join(counts.where(f"n > {bucket}"), ["table", "key"]).select("fp", "table"))
-        if rows.isEmpty():
+        hot = settle(counts.where(f"n > {bucket}").select("table", "key"))
+        if hot.isEmpty():
             break
+        rows = settle(keyed.join(hot, ["table", "key"]).select("fp", "table"))
     edges = found[0]
     for more in found[1:]:
         edges = edges.union(more)
