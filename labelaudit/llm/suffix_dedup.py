@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from labelaudit.llm.frames import hidden, shown, text_bytes
+from labelaudit.llm.frames import hidden, shown, slices, text_bytes
 from labelaudit.session import settle, store
 
 WIDTH = 200
@@ -46,7 +46,7 @@ GRAM = 48
 GROUP = 1 << 13
 SHALLOW = 32
 _CHARS = 8
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 ANCHORS = "k1 long, k2 int, gram long, context long, place long"
@@ -146,7 +146,7 @@ def find_anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 def _anchor_table(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = find_anchors(text_bytes(batch.column("_text")))
             at = pa.array(found.pop("text"))
             keys = [batch.column("k1").take(at), batch.column("k2").take(at)]
@@ -298,9 +298,10 @@ def _contexts(rows: DataFrame, kinds: DataFrame) -> DataFrame:
     asked = kinds.select("rep.k1", "rep.k2", F.struct("gram", "context", "count", "rep.place").alias("a"))
     asked = asked.groupBy("k1", "k2").agg(F.collect_list("a").alias("_asked"))
     given = rows.join(asked.hint("shuffle_hash"), ["k1", "k2"])
+    batch_text = given.columns.index("_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, batch_text)):
             out = []
             for text, asked_ in zip(text_bytes(batch.column("_text")), batch.column("_asked").to_pylist()):
                 for a in asked_:
@@ -351,7 +352,8 @@ def _sorted_groups(contexts: DataFrame) -> DataFrame:
 
 def _round(anchors: DataFrame, group: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Members of repeated grams, the kinds of their contexts, and the members of too common grams, if any."""
-    often = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # written before the join, so that Spark can split a gram that holds a large part of the anchors
+    often = settle(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     members = store(anchors.join(often, "gram"), "members")
     kinds = members.groupBy("gram", "context").agg(
         F.count(F.lit(1)).alias("count"), F.min(F.struct("k1", "k2", "place")).alias("rep")
@@ -415,13 +417,14 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """All columns of ``docs``, kept (bytes), n_bytes, n_removed and n_spans."""
     found, names = repeats(docs, doc_id, text, **options)
+    batch_text = found.columns.index("_text")
     kept = list(names.values())
     schema = found.select(*kept).schema
     for name, kind in (("kept", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, batch_text)):
             texts = text_bytes(batch.column("_text"))
             spans = [[(s["from"], s["to"]) for s in x or []] for x in batch.column("_removed").to_pylist()]
             rest, gone, runs = zip(*map(without, texts, spans)) if texts else ((), (), ())
