@@ -86,7 +86,9 @@ def copies(
     a table with the column ``source``.
     """
     rows, names = hidden(docs)
-    sized = rows.withColumn("size", word_count(F.col(names[text])))
+    body = F.col(names[text])
+    drawn = draw(F.col(names[doc_id]), body, seed)  # before the join, so that a plan without texts moves none
+    sized = rows.withColumns({"size": word_count(body), "_draw": drawn})
     narrow = sized.select(F.col(names[source]).alias("source"), "size")
     if callable(weights):
         weights = weights(narrow)
@@ -94,9 +96,9 @@ def copies(
     out = sized.join(targets, F.col(names[source]).eqNullSafe(F.col("_source")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rate = F.least(rate, F.lit(float(max_repeat)))
-    more = draw(F.col(names[doc_id]), F.col(names[text]), seed) < rate - F.floor(rate)
+    more = F.col("_draw") < rate - F.floor(rate)
     n = F.floor(rate) + more.cast("long")
-    return out.withColumn("copies", n).drop("_source", "weight"), names
+    return out.withColumn("copies", n).drop("_source", "weight", "_draw"), names
 
 
 def mix(docs: DataFrame, weights=None, copy: str = "copy", **options) -> DataFrame:
