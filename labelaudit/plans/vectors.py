@@ -145,12 +145,14 @@ def _near_out(found: DataFrame) -> DataFrame:
 
 @query("near_duplicates", _GIVEN, _knn_sql("given"), _near_sql(_WIDE), _NEAR_OUT)
 def near_duplicates(spark, sf):
-    return _near_out(N.near_duplicates(_given_knn(spark, sf), _WIDE))
+    given = read_table(spark, sf, "embeddings")
+    return _near_out(N.near_copies(given, "embedding", row_id="vec_id", factor=_WIDE, block=_GIVEN_BLOCK))
 
 
 @query("near_duplicate_pairs", _GIVEN, _knn_sql("given"), _near_sql(_WIDE), "SELECT row_id, other FROM pairs")
 def near_duplicate_pairs(spark, sf):
-    return N.near_pairs(_given_knn(spark, sf), _WIDE).select("row_id", "other")
+    given = read_table(spark, sf, "embeddings")
+    return N.near_copy_pairs(given, "embedding", "vec_id", _WIDE, _GIVEN_BLOCK).select("row_id", "other")
 
 
 @query(
