@@ -4,7 +4,8 @@ All rules are compiled into a single transition array (see ``automata``), and ea
 text is read once, byte by byte, for all rules together. Where a rule's matches
 end, a small automaton of the reversed rule walks back to the leftmost start, not
 beyond the rule's match before. A rule ends in a run of a class or in fixed
-characters, so a match ends where its run of accepting states does.
+characters, so a match ends where its run of accepting states does; a private key's
+body is read on from its header to the footer.
 
 Defined results: a missing or empty text has no spans; offsets are code points, the
 end exclusive; matches of one rule do not overlap, those of different rules may;
@@ -14,6 +15,7 @@ whole in a map without any shuffle.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,13 +27,17 @@ from labelaudit.llm.frames import hidden, map_texts, shown
 
 @dataclass(frozen=True)
 class Rule:
-    """A match is ``head`` then ``tail``; it counts if the tail has ``least`` bytes. ``fold`` frees the head's case."""
+    """A match is ``head`` then ``tail``; it counts if the tail has ``least`` bytes. ``fold`` frees the head's case.
+
+    ``body`` is an expression of ``re`` over ASCII characters.
+    """
 
     kind: str
     head: str
     tail: str
     least: int
     fold: bool = False
+    body: str = ""  # what follows the match belongs to it, and all of it is the secret part
 
 
 #: The kinds every scan has, in the order of their names in results.
@@ -40,9 +46,11 @@ BASE_RULES = (
     Rule("access", r"AKIA", r"[A-Z0-9]+", 16),
     Rule("hex", r"", r"[0-9a-f]{8,}", 24),  # from 8 on, so that few ends of prose words are looked at
 )
-#: What this scan finds beside them.
+#: What a key is written in: base64, header fields, breaks also as a backslash and n, and the marks of quoted lines.
+_PEM = r"[A-Za-z0-9+/=\s:,\\\"'>#*\-]"
+#: What this scan finds beside them. A key ends with its footer or, if that is missing, with the run.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*", r"PRIVATE KEY-----", 0),
+    Rule("private_key", r"-----BEGIN [A-Z ]*", r"PRIVATE KEY-----", 0, body=rf"{_PEM}*?-----END [A-Z ]*PRIVATE KEY-----|{_PEM}*"),
     Rule("code_host", r"gh[pousr]_", r"[A-Za-z0-9]+", 36),
     Rule("chat", r"xox[abprs]-", r"[A-Za-z0-9\-]+", 10),
     Rule("cloud", r"AIza", r"[A-Za-z0-9_\-]+", 35),
@@ -62,6 +70,7 @@ class Scanner:
         self.accept = len(self.start) - 2
         self.back = [self._walker(automata.reverse(t)) for t in whole]
         self.head = [self._walker(h) for h in heads]
+        self.body = [re.compile(r.body.encode()) if r.body else None for r in rules]
 
     @staticmethod
     def _walker(tree):
@@ -105,8 +114,12 @@ class Scanner:
             n = self._longest(self.back[rule], _backward(data, end, free[rule]))
             if n < 0:  # it would start inside the match before
                 continue
-            start, free[rule] = end - n, end
-            value = start + self._longest(self.head[rule], memoryview(data)[start:end])
+            start = value = end - n
+            if body := self.body[rule]:
+                end = body.match(data, end).end()
+            else:
+                value += self._longest(self.head[rule], memoryview(data)[start:end])
+            free[rule] = end
             if end - value >= self.rules[rule].least:
                 found.append((start, rule, end, value))
         if not found or data.isascii():
