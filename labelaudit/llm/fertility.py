@@ -38,6 +38,8 @@ SCRIPT_BANDS = {"Latin": (1.6, 5.5), "Cyrillic": (1.2, 4.5), "Greek": (0.9, 3.5)
 MAX_BYTE_SHARE = {"Han": 0.9, "Greek": 0.5, "other": 1.0}
 DEFAULT_BYTE_SHARE = 0.03
 MIN_ENTROPY = 0.46
+#: The least entropy of scripts written letter by letter or in bytes, which have few different tokens however long the text.
+SCRIPT_MIN_ENTROPY = {"Greek": 0.28, "Han": 0.28, "other": 0.18}
 ENTROPY_TOKENS = 4096
 SLACK = 1.3
 
@@ -140,13 +142,13 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: st
 
 
 def band_of(lang: Column, text: Column) -> Column:
-    """The language if it has a band, else the script that most letters are of."""
+    """The language if it has a band, else the script that more than half of all letters are of, else "other"."""
     scripts = [s for s in SCRIPT_BANDS if s != "other"]
     counted = F.array(
         *[F.struct(F.regexp_count(text, F.lit(rf"\p{{Is{s}}}")).alias("n"), F.lit(s).alias("s")) for s in scripts]
     )
     most = F.array_max(counted)
-    by_script = F.when(most["n"] > 0, most["s"]).otherwise("other")
+    by_script = F.when(most["n"] * 2 > F.regexp_count(text, F.lit(r"\p{L}")), most["s"]).otherwise("other")
     return F.when(lang.isin(*LANGUAGE_BANDS), lang).otherwise(F.coalesce(by_script, F.lit("other")))
 
 
@@ -163,6 +165,7 @@ def judge(measured: DataFrame, band: str) -> DataFrame:
     low = _looked_up(F.col(band), {k: v[0] for k, v in bands.items()}, 0.0)
     high = _looked_up(F.col(band), {k: v[1] for k, v in bands.items()}, 99.0)
     share = _looked_up(F.col(band), MAX_BYTE_SHARE, DEFAULT_BYTE_SHARE)
+    entropy = _looked_up(F.col(band), SCRIPT_MIN_ENTROPY, MIN_ENTROPY)
     slack = F.lit(SLACK) / F.sqrt(F.greatest("n_tokens", F.lit(1)))
     failed = (F.col("n_words") < MIN_WORDS) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT
@@ -170,7 +173,7 @@ def judge(measured: DataFrame, band: str) -> DataFrame:
     inside = (
         F.col("chars_per_token").between(low - slack, high + slack)
         & (F.col("byte_share") <= share + slack)
-        & (F.col("entropy") >= MIN_ENTROPY)
+        & (F.col("entropy") >= entropy)
     )
     return measured.withColumns({"base_failed": failed, "kept": ~failed & inside})
 

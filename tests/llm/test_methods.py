@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from labelaudit.llm import automata, bpe, chat, mixing, pii, secret_scan, simhash, suffix_dedup, weak_quality
+from labelaudit.llm import automata, bpe, chat, fertility, mixing, pii, secret_scan, simhash, suffix_dedup, weak_quality
 from labelaudit.llm import weighted_sampling
 
 
@@ -127,6 +127,26 @@ def test_private_keys_go_with_their_body(spark):
     assert kinds == [(2, 2 + len(block), 2)]
 
 
+def test_a_few_letters_of_another_script_do_not_change_the_band(spark):
+    words = {
+        "ar": "ذهب الولد إلى المدرسة في الصباح وكان الجو جميلا والطيور تغني فوق الأشجار العالية ثم عاد إلى بيته",
+        "he": "הילד הלך לבית הספר בבוקר והיה מזג אוויר יפה והציפורים שרו על העצים",
+        "hi": "लड़का सुबह स्कूल गया और मौसम सुहावना था और पक्षी ऊँचे पेड़ों पर गा रहे थे",
+        "ko": "소년은 아침에 학교에 갔고 날씨는 아름다웠으며 새들은 높은 나무 위에서 노래했다",
+        "ru": "мальчик утром пошёл в школу погода была прекрасная и птицы пели на высоких деревьях",
+        "pl": "chłopiec poszedł rano do szkoły pogoda była piękna a ptaki śpiewały na wysokich drzewach",
+    }
+    rng = random.Random(9)
+    rows = [(lang, " ".join(rng.choices(text.split(), k=400)) + " x") for lang, text in words.items()]
+    rows += [("none", "1234 5678 " * 3), ("ja", "少年は朝学校に行き、とても楽しかったです USB")]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    bands = {r["lang"]: r["b"] for r in docs.select("lang", fertility.band_of(docs["lang"], docs["text"]).alias("b")).collect()}
+    others = dict.fromkeys(["ar", "he", "hi", "ko", "none", "ja"], "other")
+    assert bands == others | {"ru": "Cyrillic", "pl": "Latin"}
+    kept = {r["lang"] for r in fertility.keep_good(docs).collect()}
+    assert {"ar", "he", "hi", "ko"} <= kept
+
+
 def test_bpe_of_made_up_texts():
     path, pattern = bpe.production()
     codec = bpe.codec(path, pattern)
