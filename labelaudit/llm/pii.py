@@ -51,21 +51,57 @@ SYLLABLES = {
     "Greek": ["βα", "δη", "κο", "λα", "μα", "νι", "πα", "ρο", "σα", "τζη", "φω", "χα"],
 }
 SCRIPTS = list(SYLLABLES)
+#: Found, but not drawn: titles of either gender and common given names; names that are everyday words are left out.
+NEUTRAL = ["Dr", "Prof", "Professor", "Doctor", "Mx", "Rev"]
+MORE_GIVEN = {
+    "m": "Aaron Adam Alan Albert Alexander Ahmed Ali Andrew Anthony Antonio Arthur Benjamin Brian Bruce Carl Charles "
+    "Christopher David Dennis Diego Donald Douglas Edward Eric Ethan Fernando Francisco Frank François Gary George "
+    "Gerald Gregory Günter Harold Heinrich Henry Jack Jacob Jacques Jason Javier Jean Jeffrey Jeremy John Jonathan "
+    "Jorge José Joseph Joshua Juan Jürgen Karl Keith Kenneth Kevin Klaus Larry Lawrence Liam Louis Luis Manuel Marco "
+    "Mark Matthew Michael Michel Miguel Mohamed Mohammed Muhammad Nathan Nicholas Noah Oliver Oscar Patrick Paul Pedro "
+    "Philip Ralph Raymond Richard Roger Ronald Ryan Samuel Scott Sean Sebastian Sergio Stefan Stephen Steven Terry "
+    "Timothy Tom Vincent Walter Werner William Wolfgang Zachary",
+    "f": "Abigail Alice Amanda Amy Andrea Angela Ann Anne Ashley Barbara Beatrice Betty Beverly Brenda Carol Caroline "
+    "Catherine Charlotte Cheryl Christina Christine Cynthia Deborah Debra Denise Diana Diane Donna Doris Dorothy "
+    "Elena Elisabeth Elizabeth Emily Evelyn Fatima Frances Gloria Hannah Heather Heidi Ingrid Isabel Isabella "
+    "Jacqueline Jane Janet Janice Jean-Marie Jennifer Jessica Joan Joyce Judith Judy Julie Karen Katherine Kathleen "
+    "Kelly Kimberly Laura Lauren Linda Lisa Louise Madison Margaret Maria María Marie Marilyn Martha Megan Melissa "
+    "Michelle Monika Nancy Natalie Nicole Olivia Pamela Patricia Rachel Rebecca Ruth Samantha Sandra Sara Sarah Sharon "
+    "Shirley Sophia Sophie Stephanie Teresa Theresa Ursula",
+}
+_FEMALE = [n for (g, _), names in GIVEN.items() if g == "f" for n in names] + MORE_GIVEN["f"].split()
+
+
+def _either_case(words: list[str]) -> str:
+    """An expression of all words, also in upper case, the longer of two alike first."""
+    both = {w for word in words for w in (word, word.upper())}
+    heads: dict[str, list[str]] = {}
+    for w in sorted(both, reverse=True):
+        heads.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{h}(?:{'|'.join(rest)})" for h, rest in heads.items())
+
 
-_NAME = r"\p{Lu}\p{Ll}+"
-_TITLE = "|".join(t for titles in TITLES.values() for t in titles)
-_KNOWN = "|".join(n for names in GIVEN.values() for n in names)
+#: A part of a name: McDonald, O'Brien, Smith-Jones, HALL; between parts initials and particles may stand.
+_WORD = r"\p{Lu}(?:['’](?!S(?!\p{L}))\p{Lu}|\p{L})++"
+_NAME = rf"{_WORD}(?:-{_WORD})*+"
+_PARTICLE = "van|von|der|den|de|da|di|del|della|dos|du|la|le|el|al|bin|ibn|ter|zu"
+_NEXT = rf"(?: \p{{Lu}}\.){{0,2}}(?: (?:{_PARTICLE})){{0,3}} {_NAME}"
+_TITLE = _either_case([t for titles in TITLES.values() for t in titles] + NEUTRAL)
+_KNOWN = _either_case([n for names in GIVEN.values() for n in names] + " ".join(MORE_GIVEN.values()).split())
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: In order of precedence. A match starts where a run of its characters starts, so no text is read twice.
 PATTERNS = {
     "mail": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+",
     "address": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
+    "address6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+    r"|(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "social": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[.\-])\d{3}[ .\-]\d{4}(?!\w)"
     r"|(?<![\w+])\+\d{1,3}(?:[ .\-]\d{2,4}){3,4}(?!\w)",
     "number": r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-])",
     "account": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "person": rf"(?<!\w)(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME})?|(?:{_KNOWN}) {_NAME})(?!\w)",
+    "person": rf"(?<!\w)(?:(?:(?:{_TITLE})\.? )++(?:(?:\p{{Lu}}\. ){{1,2}}|(?:{_PARTICLE}) ){{0,3}}{_NAME}(?:{_NEXT}){{0,3}}"
+    rf"|(?:{_KNOWN})(?:-{_NAME})?(?:{_NEXT}){{1,3}})(?!\w)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -94,12 +130,12 @@ def _pieces(match: Column) -> Column:
         return F.struct(kind.alias("kind"), canon.alias("canon"), raw.alias("raw"))
 
     words = F.split(match, " ")
-    female = "|".join(TITLES["f"] + [n for (g, _), names in GIVEN.items() if g == "f" for n in names])
-    gender = F.when(match.rlike(rf"^(?:{female})\b"), "f").otherwise("m")
+    female = rf"^(?:{_either_case(TITLES['f'] + _FEMALE)})\b|^(?:(?:{_either_case(NEUTRAL)})\.? )+(?:{_either_case(_FEMALE)})\b"
+    gender = F.when(match.rlike(female), "f").otherwise("m")
 
     def word(w: Column, i: Column) -> Column:
         name = F.initcap(w)
-        kind = F.when((i == 0) & w.rlike(rf"^(?:{_TITLE})\.?$"), none).when(
+        kind = F.when(w.rlike(rf"^(?:(?:{_TITLE})\.?|{_PARTICLE})$"), none).when(
             i == F.size(words) - 1, F.concat(F.lit("surname "), script_of(w))
         )
         return part(kind.otherwise(F.concat(F.lit("given "), gender, F.lit(" "), script_of(w))), name, w)
@@ -108,6 +144,7 @@ def _pieces(match: Column) -> Column:
     canon = {
         "mail": F.lower(match),
         "address": match,
+        "address6": F.lower(match),
         "social": digits,
         "phone": F.when(F.length(digits) >= 10, F.right(digits, F.lit(10))).otherwise(digits),
         "number": digits,
@@ -200,6 +237,7 @@ def surrogate(key: str) -> Column:
     outside = F.array_join(octets, ".")
     inside = F.concat(local, F.substring_index(outside, ".", -3))  # a private network stays one
     inside = F.when(local == "10.", inside).otherwise(F.concat(local, F.substring_index(outside, ".", -2)))
+    groups = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.substr(digest, i * 4 + 1, F.lit(4)))
     area = F.concat(  # the first digits of the area and of the exchange are 2 to 9
         F.char(F.lit(50) + _number(digest, F.lit(0)) % 8), F.substr(like, F.lit(2), F.lit(2)),
         F.char(F.lit(50) + _number(digest, F.lit(3)) % 8), F.substr(like, F.lit(5)),
@@ -215,6 +253,7 @@ def surrogate(key: str) -> Column:
         [
             (kind == "mail", mail),
             (kind == "address", F.when(local == "", outside).otherwise(inside)),
+            (kind == "address6", F.concat(F.lit("2001:db8:"), F.array_join(groups, ":"))),
             (kind == "phone", F.when(F.length(canon) == 10, area).otherwise(like)),
             (kind == "number", F.when(luhn(canon) == 0, valid).otherwise(kept)),
             (kind == "social", F.concat((_number(digest, F.lit(0)) % 8 + 1).cast("string"), F.substr(like, F.lit(2)))),
@@ -275,7 +314,7 @@ def _written(kind: Column, raw: Column, new: Column) -> Column:
         F.when(kind == "mail", cased)
         .when(kind.isin("phone", "number", "social"), _filled(raw, new))
         .when(kind == "account", spaced)
-        .when(kind == "address", new)
+        .when(kind.isin("address", "address6"), new)
         .otherwise(F.when(shouted, F.upper(new)).otherwise(new))
     )
 

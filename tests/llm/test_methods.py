@@ -270,6 +270,24 @@ def test_colliding_surrogates_are_drawn_again(spark):
     assert len(got) == 5 and len(set(new)) == 5 and not set(new) & {x for _, x in rows}
 
 
+def test_names_of_many_forms_are_found(spark):
+    planted = {
+        "John Smith": "John Smith", "Dr. Jane Smith": "Jane Smith", "Mr McDonald": "McDonald", "Mr O'Brien": "O'Brien",
+        "MR. HALL": "HALL", "Mrs. Anna Maria Lopez": "Anna Maria Lopez", "Mrs Smith-Jones": "Smith-Jones",
+        "Sarah van der Berg": "Sarah Berg", "Michael J. Fox": "Michael Fox", "Prof. García": "García",
+        "2001:db8:85a3::8a2e:370:7334": "85a3 8a2e", "fe80:0:0:0:1:2:3:4444": "fe80 4444",
+    }
+    docs = spark.createDataFrame([(i, f"seen: {t}, then") for i, t in enumerate(planted)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace(docs, "k").collect()}
+    for i, (text, parts) in enumerate(planted.items()):
+        new = got[i]["text"]
+        assert got[i]["n_entities"] == 1 and new.startswith("seen: ") and new.endswith(", then"), (text, new)
+        assert not [p for p in re.split("[ -]", parts) if re.search(rf"\b{p}\b", new)], (text, new)
+    plain = ["The Mark was high", "std::vector a::b 12:30:45", "In Paris Street it rained", "john smith"]
+    kept = spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")
+    assert sorted(r["text"] for r in pii.replace(kept, "k").collect()) == sorted(plain)
+
+
 def test_surrogates_keep_form_gender_and_script(spark):
     texts = [
         "Bob.Smith@Mail8.example.com bob.smith@mail8.example.com +1 (988) 555-2485 988-555-2485",
