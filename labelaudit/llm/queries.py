@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelaudit.llm import bpe, chat, fertility, mixing, pii, secret_scan, simhash, suffix_dedup, weak_quality, weighted_sampling
+from labelaudit.llm import bpe, chat, decontaminate, fertility, mixing, pii, secret_scan, simhash, suffix_dedup
+from labelaudit.llm import weak_quality, weighted_sampling
 from labelaudit.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +116,13 @@ def op7_weak_label_quality(spark, sf_dir):
     return weak_quality.classify(documents(spark, sf_dir).select("doc_id", "text"), ["doc_id"])
 
 
+@query
+def op11_decontaminate(spark, sf_dir):
+    """Words of every text that stand in a window of 10 words of a benchmark item, and which items these are."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontaminate.report(documents(spark, sf_dir).select("doc_id", "text"), items, ["doc_id"])
+
+
 ORACLES["op2_mix_sources"] = r"""
 WITH sized AS (
   SELECT doc_id, source, text,
@@ -162,3 +170,27 @@ SELECT conv_id, count(*) AS n_turns,
            + 1 + length('</turn>') + 1)::BIGINT AS formatted_chars
 FROM given GROUP BY conv_id
 """
+
+ORACLES["op11_decontaminate"] = r"""
+WITH cut AS (
+  SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS nr, text FROM documents
+  UNION ALL SELECT 'b', item_id, row_number() OVER (), text FROM benchmark),
+words AS (
+  SELECT kind, id, nr, coalesce(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM cut),
+sizes AS (SELECT DISTINCT least(len(w), 10) AS size FROM words WHERE kind = 'b' AND len(w) > 0),
+windows AS (
+  SELECT DISTINCT least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS gram, id::VARCHAR AS item
+  FROM (SELECT id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM words WHERE kind = 'b' AND len(w) > 0)),
+places AS (
+  SELECT nr, id, size, i, array_to_string(w[i:i + size - 1], ' ') AS gram
+  FROM (SELECT nr, id, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM words, sizes WHERE kind = 'd' AND len(w) >= size)),
+hits AS (SELECT p.nr, p.size, p.i, item FROM places p JOIN windows b ON p.gram = b.gram AND p.size = b.size),
+hit AS (SELECT nr, count(DISTINCT word) AS n_hit FROM (SELECT nr, unnest(range(i, i + size)) AS word FROM hits) GROUP BY nr),
+named AS (SELECT nr, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT nr, item FROM hits) GROUP BY nr)
+SELECT w.id AS doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM words w LEFT JOIN hit USING (nr) LEFT JOIN named USING (nr) WHERE w.kind = 'd'
+"""
