@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelaudit.llm import bpe, chat, decontaminate, fertility, mixing, pii, secret_scan, simhash, suffix_dedup
+from labelaudit.llm import bpe, centroids, chat, decontaminate, fertility, mixing, pii, secret_scan, simhash, suffix_dedup
 from labelaudit.llm import weak_quality, weighted_sampling
 from labelaudit.session import prepare
 
@@ -123,6 +123,13 @@ def op11_decontaminate(spark, sf_dir):
     return decontaminate.report(documents(spark, sf_dir).select("doc_id", "text"), items, ["doc_id"])
 
 
+@query
+def op12_centroid_clusters(spark, sf_dir):
+    """Cluster and distance of every usable vector after ten rounds from eight hash-drawn centroids."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return centroids.report(vectors, "embedding", "vec_id", k=8, rounds=10)
+
+
 ORACLES["op2_mix_sources"] = r"""
 WITH sized AS (
   SELECT doc_id, source, text,
@@ -194,3 +201,38 @@ SELECT w.id AS doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT A
        sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM words w LEFT JOIN hit USING (nr) LEFT JOIN named USING (nr) WHERE w.kind = 'd'
 """
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Each round as tables of its own: the numbers of the centroids, then the assignment by them."""
+    parts = []
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT nr, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (
+    SELECT v.nr, c.cluster, list_sum(list_transform(list_zip(v.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+    FROM vectors v, c{i} c) GROUP BY nr)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(n.c, o.c) AS c FROM c{i} o LEFT JOIN (
+    SELECT cluster, list(m ORDER BY d) AS c FROM (
+      SELECT cluster, d, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS m
+      FROM (SELECT a.cluster, unnest(range(1, 65)) AS d, unnest(v.v) AS x FROM a{i} a JOIN vectors v USING (nr))
+      GROUP BY cluster, d) GROUP BY cluster) n USING (cluster))""")
+    return ",\n".join(parts)
+
+
+ORACLES["op12_centroid_clusters"] = f"""
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS nr, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY h, v) - 1)::INTEGER AS cluster, v AS c
+  FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM vectors) ORDER BY h, v LIMIT 8),
+{_rounds_sql(10)},
+final AS (
+  SELECT cluster, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM c10)
+SELECT vec_id, cluster, d AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a10 JOIN vectors USING (nr) JOIN final USING (cluster)
+"""
