@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelaudit.llm import bpe, centroids, chat, decontaminate, fertility, mixing, pii, secret_scan, simhash, suffix_dedup
-from labelaudit.llm import weak_quality, weighted_sampling
+from labelaudit.llm import turn_repair, weak_quality, weighted_sampling
 from labelaudit.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +130,13 @@ def op12_centroid_clusters(spark, sf_dir):
     return centroids.report(vectors, "embedding", "vec_id", k=8, rounds=10)
 
 
+@query
+def op13_turn_repair(spark, sf_dir):
+    """Every conversation, some of whose rows are damaged first: its faults, and its cheapest repair."""
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return turn_repair.report(turn_repair.damage(given), everyone=given)
+
+
 ORACLES["op2_mix_sources"] = r"""
 WITH sized AS (
   SELECT doc_id, source, text,
@@ -236,3 +243,71 @@ SELECT vec_id, cluster, d AS distance, (sum(d) OVER (PARTITION BY cluster))::BIG
        (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
 FROM a10 JOIN vectors USING (nr) JOIN final USING (cluster)
 """
+
+
+ORACLES["op13_turn_repair"] = r"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+summed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(name, ''),
+              lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295) % 20 AS kind
+  FROM named),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS time FROM summed),
+ordered AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS pos,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+                lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM ordered),
+turns AS MATERIALIZED (
+  SELECT *, final = '' AS blank, final <> '' AND again AS duplicate,
+         final <> '' AND NOT again AND final NOT IN ('.', '!', '?') AS truncated FROM seen),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) AS n,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv_id),
+moves(state, symbol, next) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+puts(state, next, n) AS (VALUES (0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (0, 2, 1), (0, 3, 2), (1, 2, 1), (1, 3, 2), (2, 3, 1), (3, 2, 1)),
+edits AS MATERIALIZED (
+  SELECT conv_id, pos, s.state, s.state AS next, 2 AS cost, 'D' AS letter FROM turns, (SELECT DISTINCT state FROM moves) s
+  UNION ALL
+  SELECT conv_id, pos, state, next, CASE WHEN truncated THEN 5 ELSE 0 END, 'K' FROM turns JOIN moves ON symbol = initial
+  WHERE NOT blank AND NOT duplicate
+  UNION ALL
+  SELECT conv_id, pos, state, next, CASE WHEN truncated THEN 6 ELSE 1 END, 'R' FROM turns, moves
+  WHERE symbol <> 's' AND NOT blank AND NOT duplicate),
+steps AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS pos, next AS state, (5 * n)::BIGINT AS cost, repeat('I', n) AS audit
+  FROM conversations, puts WHERE state = 0
+  UNION ALL
+  SELECT conv_id, pos, state, min(cost), arg_min(audit, (cost, audit)) FROM (
+    SELECT e.conv_id, e.pos, p.next AS state, s.cost + e.cost + 5 * p.n AS cost, s.audit || e.letter || repeat('I', p.n) AS audit
+    FROM steps s JOIN edits e ON s.conv_id IS NOT DISTINCT FROM e.conv_id AND e.pos = s.pos + 1 AND e.state = s.state
+    JOIN puts p ON p.state = e.next) GROUP BY conv_id, pos, state),
+ends AS (SELECT conv_id, cost, audit FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC, cost, audit) AS place FROM steps WHERE state IN (0, 3)) WHERE place = 1),
+letters AS (SELECT conv_id, i, audit[i] AS letter FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS i FROM ends)),
+places AS (
+  SELECT *, sum((letter <> 'I')::INTEGER) OVER w AS pos, sum((letter <> 'D')::INTEGER) OVER w AS nr FROM letters
+  WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+written AS (
+  SELECT l.conv_id, l.i, l.letter, l.nr, t.role, CASE WHEN l.letter = 'I' THEN '' ELSE t.text END AS text,
+         max((l.letter = 'K' AND l.nr = 1 AND t.initial = 's')::INTEGER) OVER (PARTITION BY l.conv_id) AS system
+  FROM places l LEFT JOIN turns t ON l.conv_id IS NOT DISTINCT FROM t.conv_id AND l.pos = t.pos AND l.letter <> 'I'
+  WHERE l.letter <> 'D'),
+repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (nr - system) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                             || ':' || text, chr(10) ORDER BY i) AS whole
+  FROM written GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ends e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN repaired r ON o.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
