@@ -302,14 +302,18 @@ def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", **option
     """All rows and columns of ``docs``, each run of hit words cut out of the text."""
     rows, names = find(docs, items, text, **options)
     # the bytes between the spans: from each end to the next start
-    bytes_ = F.col("_text").cast("binary")
-    size = F.octet_length("_text").cast("long")
+    bytes_, size = F.col("_text").cast("binary"), F.octet_length("_text").cast("long")
     starts = F.filter("spans", lambda _, i: i % 2 == 0)
     ends = F.filter("spans", lambda _, i: i % 2 == 1)
-    gaps = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), ends), F.concat(starts, F.array(size)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    parts = F.transform(gaps, lambda g: F.substring(bytes_, g["a"].cast("int") + 1, (g["b"] - g["a"]).cast("int")))
-    left = F.when(F.size("spans") == 0, F.col("_text")).otherwise(F.array_join(F.transform(parts, lambda p: F.decode(p, "UTF-8")), ""))
-    return shown(rows, dict(zip(docs.columns, names)), left.alias(text))
+    gaps = F.zip_with(
+        F.concat(F.array(F.lit(0).cast("long")), ends),
+        F.concat(starts, F.array(size)),
+        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
+    )
+    part = lambda g: F.decode(F.substring(bytes_, g["a"].cast("int") + 1, (g["b"] - g["a"]).cast("int")), "UTF-8")
+    left = F.when(F.size("spans") == 0, F.col("_text")).otherwise(F.array_join(F.transform(gaps, part), ""))
+    cut = rows.select(*names, left.alias("_left"))
+    return shown(cut, dict(zip(docs.columns, names)), cut["_left"].alias(text))
 
 
 def remove_documents(docs: DataFrame, items: DataFrame, share: float = 0.0, text: str = "text", **options) -> DataFrame:
@@ -323,10 +327,10 @@ def report(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text
     """``keep`` columns, n_words, n_hit, the number of items found, the digest of their ids, and whether any word is hit."""
     rows, names = find(docs, items, text, keep=keep, **options)
     return rows.select(
-        *[F.col(n).alias(c) for n, c in zip(names, keep)],
-        "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        *[rows[n].alias(c) for n, c in zip(names, keep)],
+        rows["n_words"],
+        rows["n_hit"],
+        F.size(rows["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(rows["items"], ",").cast("binary"), 256).alias("items_sha256"),
+        (rows["n_hit"] > 0).alias("contaminated"),
     )
