@@ -40,16 +40,18 @@ def _complete(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(keys))
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, salt_by: str, how: str = "inner") -> DataFrame:
+def salted_join(
+    left: DataFrame, right: DataFrame, key: str, salt_by: str, how: str = "inner", key_r: str | None = None, salts: int = SALTS
+) -> DataFrame:
     """Join on a key that may hold a large part of ``left``, missing keys being equal.
 
-    ``right`` has one row per key. It is repeated for each of ``SALTS`` slices, and every
-    left row meets the slice that the hash of ``salt_by`` names, so no key is one task.
-    Pass narrow rows on both sides.
+    ``right`` has one row per key, in its column ``key_r`` (``key`` by default). It is
+    repeated for each of ``salts`` slices, and every left row meets the slice that the
+    hash of ``salt_by`` names, so no key is one task. Pass narrow rows on both sides.
     """
-    slices = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt_r")
-    many = right.withColumnRenamed(key, "_key_r").select("*", slices)
-    one = left.withColumn("_salt_l", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
+    slices = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt_r")
+    many = right.withColumnRenamed(key_r or key, "_key_r").select("*", slices)
+    one = left.withColumn("_salt_l", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     same = F.col(key).eqNullSafe(F.col("_key_r")) & (F.col("_salt_l") == F.col("_salt_r"))
     return one.join(many, same, how).drop("_key_r", "_salt_l", "_salt_r")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelaudit.functions.expressions import text_or_empty
 from labelaudit.operators.ordering import ranked
+from labelaudit.session import store
 
 PAD, UNKNOWN, FIRST_ID = 0, 1, 2
 
@@ -21,15 +22,25 @@ def tokens(text: Column | str) -> Column:
 def build_vocab(df: DataFrame, text: str, max_size: int) -> DataFrame:
     """(token, token_id, n) of the most frequent tokens of the whole corpus.
 
-    Ties go by token; ids follow the order. Tokens are ranked in slices, so neither
-    they nor the vocabulary pass through one task.
+    Ties go by token; ids follow the order. How many tokens there are of each count says
+    which count is enough; only tokens of at least that count are ranked, in slices, so
+    neither they nor the vocabulary pass through one task. The vocabulary is written, so
+    that joins with it know its size and broadcast it only if it is small.
     """
     if max_size < 1:
         raise ValueError("max_size must be at least 1")
     words = df.select(F.explode(tokens(text)).alias("token"))
-    counts = words.groupBy("token").agg(F.count("*").alias("n"))
-    placed = ranked(counts, [], [F.desc("n"), F.asc("token")]).where(F.col("rank") <= max_size)
-    return placed.select("token", (F.col("rank") + F.lit(FIRST_ID - 1)).cast("int").alias("token_id"), "n")
+    counts = store(words.groupBy("token").agg(F.count("*").alias("n")), "token-counts")
+    # the largest counts: a row each, and no more of them than the vocabulary has places
+    most = counts.groupBy("n").agg(F.count("*").alias("tokens")).orderBy(F.desc("n")).limit(max_size).collect()
+    enough, places = 1, 0
+    for row in most:
+        enough, places = row["n"], places + row["tokens"]
+        if places >= max_size:
+            break
+    placed = ranked(counts.where(F.col("n") >= enough), [], [F.desc("n"), F.asc("token")]).where(F.col("rank") <= max_size)
+    vocab = placed.select("token", (F.col("rank") + F.lit(FIRST_ID - 1)).cast("int").alias("token_id"), "n")
+    return store(vocab, "vocabulary")
 
 
 def encode(
@@ -37,8 +48,9 @@ def encode(
 ) -> DataFrame:
     """(row_id, ids, mask, n_tokens): ids cut and padded to ``max_len``.
 
-    Texts are cut before they are taken apart, so at most ``max_len`` small
-    rows per text are shuffled. ``n_tokens`` counts the whole text.
+    Texts are cut before they are taken apart, and a text's entries are packed
+    before they move: one row per text is shuffled where the vocabulary is small
+    enough to be broadcast. ``n_tokens`` counts the whole text.
     """
     words = df.select(row_id, tokens(text).alias("_t"))
     parts = words.select(
@@ -48,12 +60,13 @@ def encode(
     )
     ids = vocab.select("token", "token_id")
     looked_up = parts.join(ids, "token", "left")
+    # place and id in one number, which sorts by place
     entry = F.when(
         F.col("_pos").isNotNull(),
-        F.struct("_pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("id")),
+        F.shiftleft(F.col("_pos").cast("bigint"), 32).bitwiseOR(F.coalesce("token_id", F.lit(UNKNOWN)).cast("bigint")),
     )
     packed = looked_up.groupBy(row_id, "n_tokens").agg(F.array_sort(F.collect_list(entry)).alias("_e"))
-    found = F.transform("_e", lambda e: e["id"])
+    found = F.transform("_e", lambda e: e.bitwiseAND(F.lit((1 << 32) - 1).cast("bigint")).cast("int"))
     missing = F.lit(max_len) - F.size("_e")
     return packed.select(
         row_id,
@@ -96,11 +109,15 @@ def mean_pool(
 
 
 def tf_idf(df: DataFrame, text: str, vocab: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """(row_id, token, weight): counts of vocabulary tokens times ln((rows + 1) / (rows with the token + 1))."""
-    words = df.select(row_id, F.explode(tokens(text)).alias("token"))
-    counts = words.groupBy(row_id, "token").agg(F.count("*").alias("_n")).join(vocab.select("token"), "token")
+    """(row_id, token, weight): counts of vocabulary tokens times ln((rows + 1) / (rows with the token + 1)).
+
+    Other tokens go before anything is counted, and the counts are written once for
+    both their uses.
+    """
+    words = df.select(row_id, F.explode(tokens(text)).alias("token")).join(vocab.select("token"), "token")
+    counts = store(words.groupBy(row_id, "token").agg(F.count("*").alias("_n")), "term-counts")
     total = df.agg(F.count("*")).first()[0]
-    idf = counts.groupBy("token").agg(F.log((F.lit(total) + 1) / (F.count("*") + 1)).alias("_w"))
+    idf = store(counts.groupBy("token").agg(F.log((F.lit(total) + 1) / (F.count("*") + 1)).alias("_w")), "token-weights")
     return counts.join(idf, "token").select(row_id, "token", (F.col("_n") * F.col("_w")).alias("weight"))
 
 
