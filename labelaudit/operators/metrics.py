@@ -6,13 +6,15 @@ so all of them are evaluated in one pass.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelaudit.functions.expressions import decide
-from labelaudit.operators.ordering import running_totals
-from labelaudit.session import settle
+from labelaudit.operators.assemble import salted_join
+from labelaudit.operators.ordering import exact_quantiles, running_totals
+from labelaudit.session import settle, store
 
 _OUTSIDE = "label outside the expected set"
 
@@ -206,6 +208,97 @@ def roc_auc(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _placements(preds: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per group and score: the share of the other class that a positive and a negative of this score outrank."""
+    placed = running_totals(_by_score(preds, by), by, ["probability"], {"pos": F.col("pos"), "neg": F.col("neg")})
+    below = lambda c: F.col(f"{c}_upto") - F.col(c)
+    over = (below("neg") + F.col("neg") / 2) / F.col("neg_total")
+    under = (F.col("pos_total") - F.col("pos_upto") + F.col("pos") / 2) / F.col("pos_total")
+    return placed.select(*by, "probability", over.alias("_over"), under.alias("_under"))
+
+
+def compare_auc(preds: DataFrame, variant: str, baseline: str, candidate: str, row_id: str = "row_id") -> DataFrame:
+    """One row: both areas, their difference, its standard error, z and two-sided p-value, for variants that score the same rows.
+
+    The covariance of paired areas from placement values: the mean placement of the
+    positives is the area, and placements of the same rows under both variants vary
+    together. Rows that one variant has no score for are left out of both. A class with
+    fewer than two rows gives no error.
+    """
+    two = preds.where(F.col(variant).isin(baseline, candidate) & F.col("true_label").isin(0, 1))
+    two = two.where(F.col("probability").isNotNull() & ~F.isnan("probability"))
+    both = two.groupBy(row_id).agg(
+        F.max("true_label").alias("label"),
+        *[F.max(F.when(F.col(variant) == v, F.col("probability"))).alias(n) for v, n in ((baseline, "a"), (candidate, "b"))],
+    ).where("a IS NOT NULL AND b IS NOT NULL")
+    both = store(both, "paired-scores")
+    rows = both
+    for n in ("a", "b"):
+        known = _placements(both.select(F.col("label").alias("true_label"), F.col(n).alias("probability")), [])
+        rows = salted_join(rows, known, n, row_id, key_r="probability")
+        rows = rows.withColumn(f"v_{n}", F.when(F.col("label") == 1, F.col("_over")).otherwise(F.col("_under"))).drop("_over", "_under")
+    pos, neg = F.col("label") == 1, F.col("label") == 0
+    part = lambda c, one: F.when(one, F.col(c))
+    found = rows.agg(
+        F.avg(part("v_a", pos)).alias("auc_baseline"),
+        F.avg(part("v_b", pos)).alias("auc_candidate"),
+        *[
+            (F.try_divide(F.var_samp(F.when(one, F.col("v_b") - F.col("v_a"))), F.count_if(one))).alias(name)
+            for one, name in ((pos, "_p"), (neg, "_n"))
+        ],
+    ).select("auc_baseline", "auc_candidate", (F.col("auc_candidate") - F.col("auc_baseline")).alias("difference"),
+             F.sqrt(F.col("_p") + F.col("_n")).alias("error"))
+    z = F.try_divide(F.col("difference"), F.col("error"))
+    return found.withColumn("z", z).withColumn("p_value", two_sided(F.col("z")))
+
+
+def two_sided(z: Column) -> Column:
+    """How likely a standard normal value is to be as far from 0 as ``z``, to seven digits (a rational approximation)."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + 0.3275911 * x)
+    # fixed values of the approximation
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return F.least(F.lit(1.0), poly * F.exp(-x * x))
+
+
+#: The distribution function of the Poisson distribution of mean 1 at 0 to 9, in parts of 2**32.
+POISSON = [int(2**32 * math.exp(-1.0) * sum(1 / math.factorial(j) for j in range(i + 1))) for i in range(10)]
+
+
+def bootstrap_counts(preds: DataFrame, variant: str, replicates: int = 100, row_id: str = "row_id") -> DataFrame:
+    """(variant, replicate, tn, fp, fn, tp): counts of rows weighted by how often a resample draws them.
+
+    Each row is drawn a Poisson number of times of mean 1, by a hash of its id and the
+    replicate: the same for all variants, so that differences are paired, and on any
+    partitioning. All replicates are sums of one pass.
+    """
+    name = lambda r: F.concat_ws(":", F.col(row_id).cast("string"), r.cast("string"))
+    draw = lambda r: F.conv(F.substring(F.md5(name(r)), 1, 8), 16, 10).cast("bigint")
+    weight = lambda r: sum((draw(r) >= s).cast("long") for s in POISSON)
+    reps = preds.select(variant, "true_label", "predicted_label", row_id, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    drawn = reps.select(variant, "replicate", "true_label", "predicted_label", weight(F.col("replicate")).alias("_w"))
+    cells = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
+    return drawn.groupBy(variant, "replicate").agg(
+        *[F.sum(F.when((F.col("true_label") == t) & (F.col("predicted_label") == p), F.col("_w")).otherwise(0)).alias(n) for n, (t, p) in cells.items()]
+    )
+
+
+def bootstrap_interval(
+    preds: DataFrame, variant: str, baseline: str, candidate: str, replicates: int = 100, row_id: str = "row_id", tail: float = 0.05
+) -> DataFrame:
+    """(metric, low, median, high): quantiles over resamples of what the candidate gains in accuracy and F1."""
+    counts = store(bootstrap_counts(preds.where(F.col(variant).isin(baseline, candidate)), variant, replicates, row_id), "resamples")
+    n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    values = {"accuracy": F.try_divide(F.col("tn") + F.col("tp"), n), "f1": F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))}
+    long = counts.select(variant, "replicate", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in values.items()])))
+    sides = long.groupBy("metric", "replicate").agg(
+        *[F.max(F.when(F.col(variant) == v, F.col("value"))).alias(s) for v, s in ((baseline, "a"), (candidate, "b"))]
+    )
+    found = exact_quantiles(sides.withColumn("gain", F.col("b") - F.col("a")), "gain", [tail / 2, 0.5, 1 - tail / 2], ["metric"])
+    names = {tail / 2: "low", 0.5: "median", 1 - tail / 2: "high"}
+    return found.groupBy("metric").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(c) for p, c in names.items()])
+
+
 def log_loss(
     preds: DataFrame,
     weights: DataFrame | None = None,

@@ -147,7 +147,7 @@ def corrected_corpus(
     for removal or unsure count as no decision.
     """
     kept = usable(reviewed)
-    open_cases = pending(suspects, kept)
+    open_cases = pending(suspects, kept, row_id=row_id if row_id in suspects.columns else None)
     fixed = apply_corrections(corpus, kept, content, label, row_id)
     unwanted = open_cases.select("text").union(near_copies.select("text"))
     return exclude(fixed, unwanted, content, "text", row_id)

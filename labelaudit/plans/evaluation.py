@@ -143,6 +143,69 @@ def roc_auc(spark, sf):
     return M.roc_auc(V.preds(spark, sf), BY).select(*BY, r6("auc"))
 
 
+_PAIRED = """paired AS (SELECT a.row_id, a.true_label, a.probability AS a, b.probability AS b
+  FROM preds a JOIN preds b ON a.row_id = b.row_id WHERE a.model = 'a' AND b.model = 'b'),
+wins AS (
+  SELECT p.row_id AS p, n.row_id AS n, CASE WHEN p.a > n.a THEN 1.0 WHEN p.a = n.a THEN 0.5 ELSE 0.0 END AS a,
+         CASE WHEN p.b > n.b THEN 1.0 WHEN p.b = n.b THEN 0.5 ELSE 0.0 END AS b
+  FROM paired p, paired n WHERE p.true_label = 1 AND n.true_label = 0),
+areas AS (
+  SELECT avg(a)::DOUBLE AS auc_baseline, avg(b)::DOUBLE AS auc_candidate FROM wins),
+errors AS (
+  SELECT sqrt((SELECT var_samp(d) / count(*) FROM (SELECT avg(b)::DOUBLE - avg(a)::DOUBLE AS d FROM wins GROUP BY p))
+            + (SELECT var_samp(d) / count(*) FROM (SELECT avg(b)::DOUBLE - avg(a)::DOUBLE AS d FROM wins GROUP BY n))) AS error),
+tested AS (SELECT *, (auc_candidate - auc_baseline) / error AS z, abs(z) / sqrt(2.0::DOUBLE) AS x, 1 / (1 + 0.3275911::DOUBLE * x) AS t
+  FROM areas, errors)"""
+
+
+@query(
+    "auc_difference",
+    V.PREDS,
+    _PAIRED,
+    """SELECT round(auc_baseline, 6) AS auc_baseline, round(auc_candidate, 6) AS auc_candidate,
+              round(auc_candidate - auc_baseline, 6) AS difference, round(error, 6) AS error, round(z, 6) AS z,
+              round(least(1.0::DOUBLE, t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE
+                + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE)))) * exp(-x * x)), 6) AS p_value FROM tested""",
+)
+def auc_difference(spark, sf):
+    """Whether two models that score the same rows differ in area by more than chance."""
+    found = M.compare_auc(V.preds(spark, sf), "model", "a", "b")
+    return found.select(*[r6(c) for c in found.columns])
+
+
+_REPLICATES = 40
+_RESAMPLED = f"""drawn AS (
+  SELECT model, replicate, true_label, predicted_label,
+         list_sum(list_transform({M.POISSON}, lambda s: (CAST('0x' || substr(md5(row_id::VARCHAR || ':' || replicate::VARCHAR), 1, 8) AS BIGINT) >= s)::BIGINT)) AS w
+  FROM decided, (SELECT unnest(range({_REPLICATES})) AS replicate)),
+resampled AS (
+  SELECT model, replicate, coalesce(sum(w) FILTER (true_label = 0 AND predicted_label = 0), 0)::BIGINT AS tn,
+         coalesce(sum(w) FILTER (true_label = 0 AND predicted_label = 1), 0)::BIGINT AS fp,
+         coalesce(sum(w) FILTER (true_label = 1 AND predicted_label = 0), 0)::BIGINT AS fn,
+         coalesce(sum(w) FILTER (true_label = 1 AND predicted_label = 1), 0)::BIGINT AS tp FROM drawn GROUP BY model, replicate)"""
+
+
+@query("bootstrap_counts", V.DECIDED, _RESAMPLED, "SELECT model, CAST(replicate AS INTEGER) AS replicate, tn, fp, fn, tp FROM resampled")
+def bootstrap_counts(spark, sf):
+    return M.bootstrap_counts(decided(spark, sf), "model", _REPLICATES)
+
+
+@query(
+    "bootstrap_interval",
+    V.DECIDED,
+    _RESAMPLED,
+    """figures AS (SELECT model, replicate, (tn + tp) / (tn + fp + fn + tp) AS accuracy, 2 * tp / (2 * tp + fp + fn) AS f1 FROM resampled),
+       long AS (SELECT model, replicate, 'accuracy' AS metric, accuracy AS v FROM figures UNION ALL SELECT model, replicate, 'f1', f1 FROM figures),
+       gains AS (SELECT a.metric, b.v - a.v AS gain FROM long a JOIN long b USING (metric, replicate) WHERE a.model = 'a' AND b.model = 'b')""",
+    """SELECT metric, round(quantile_cont(gain, 0.025), 6) AS low, round(quantile_cont(gain, 0.5), 6) AS median,
+              round(quantile_cont(gain, 0.975), 6) AS high FROM gains GROUP BY metric""",
+)
+def bootstrap_interval(spark, sf):
+    """What model b gains over model a, with an interval from paired resamples."""
+    found = M.bootstrap_interval(decided(spark, sf), "model", "a", "b", _REPLICATES)
+    return found.select("metric", r6("low"), r6("median"), r6("high"))
+
+
 @query(
     "weighted_log_loss",
     V.PREDS,

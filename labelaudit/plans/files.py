@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelaudit.functions.expressions import text_key
-from labelaudit.operators import classifier as L, features as X, review as W
+from labelaudit.operators import classifier as L, features as X, ledger as G, review as W
 from labelaudit.plans import views as V
 from labelaudit.plans.registry import query, r6
 from labelaudit.plans.vectors import _WORDS, _docs, _vocab_sql
 from labelaudit.session import scratch_path, store
 from labelaudit.sources.schemas import LOG_ENTRY, PREDICTIONS, REVIEWED, require_columns
+from labelaudit.sources.split_csv import read_csv_parallel
 from labelaudit.sources.tables import read_csv, read_training_log, write_table
 
 
@@ -22,6 +23,11 @@ from labelaudit.sources.tables import read_csv, read_training_log, write_table
 )
 def csv_round_trip(spark, sf):
     """Predictions with quotes, commas and line breaks in the text, written as CSV and read back."""
+    back = read_csv(spark, _written(spark, sf), PREDICTIONS)
+    return back.select(F.md5("text").alias("text_md5"), "true_label", "predicted_label", "probability")
+
+
+def _written(spark, sf) -> str:
     from labelaudit.operators.metrics import with_decision
 
     texts = _docs(spark, sf)
@@ -30,7 +36,18 @@ def csv_round_trip(spark, sf):
     out = rows.select(text.alias("text"), "true_label", "predicted_label", F.round("probability", 9).alias("probability"))
     path = scratch_path(spark, "predictions")
     write_table(require_columns(out, PREDICTIONS.fieldNames()), path, "csv")
-    back = read_csv(spark, path, PREDICTIONS)
+    return path
+
+
+@query(
+    "csv_in_ranges",
+    V.DECIDED,
+    """SELECT md5('"' || d.text || '", ' || chr(10) || p.model) AS text_md5, true_label, predicted_label, round(probability, 9) AS probability
+       FROM decided p JOIN documents d ON d.doc_id = p.row_id""",
+)
+def csv_in_ranges(spark, sf):
+    """The same file read by byte ranges, line breaks inside fields and all."""
+    back = read_csv_parallel(spark, _written(spark, sf), PREDICTIONS)
     return back.select(F.md5("text").alias("text_md5"), "true_label", "predicted_label", "probability")
 
 
@@ -52,6 +69,24 @@ def ledger_from_nothing(spark, sf):
     return now.groupBy(text_key("text").alias("text_key"), "final_label").agg(F.count("*").alias("n"))
 
 
+@query(
+    "ledger_compacted",
+    V.REVIEWED,
+    """SELECT sha256(text) AS text_key, final_label FROM (
+         SELECT *, row_number() OVER (PARTITION BY text ORDER BY review_date DESC, final_label DESC) AS place FROM reviewed WHERE text IS NOT NULL)
+       WHERE place = 1""",
+)
+def ledger_compacted(spark, sf):
+    """The latest decision per text, from a snapshot of three deliveries and a fourth after it."""
+    ledger, root = scratch_path(spark, "ledger"), scratch_path(spark, "compacted")
+    rows = V.reviewed(spark, sf)
+    for part in range(4):
+        W.append_decisions(rows.where(F.col("doc_id") % 4 == part).select(*REVIEWED.fieldNames()), ledger)
+        if part == 2:
+            G.compact(spark, ledger, root)
+    return G.newest_decisions(spark, ledger, root).select(text_key("text").alias("text_key"), "final_label")
+
+
 @query(
     "training_log_round_trip",
     V.LOG,

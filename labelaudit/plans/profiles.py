@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelaudit.functions.expressions import parse_dates
-from labelaudit.operators import profile as P, trend as R
+from labelaudit.operators import profile as P, sketches as S, trend as R
 from labelaudit.plans import views as V
 from labelaudit.plans.registry import query, r6
+from labelaudit.session import store
 from labelaudit.sources.tables import read_table
 
 
@@ -278,3 +279,61 @@ def smoothed_total(spark, sf):
 def yearly_trend_topk(spark, sf):
     """Positive rows of the ten most frequent categories, by year."""
     return R.yearly_trend(V.trend(spark, sf).where("label = 1"), "category", "ts", 10)
+
+
+# --- sketches, kept per day and merged by week --------------------------------------------------
+
+
+def _by_day(spark, sf):
+    day = F.to_date("ts")
+    return read_table(spark, sf, "events").select(day.alias("day"), "user_id", "value")
+
+
+def _week():
+    return F.floor((F.dayofmonth("day") - 1) / 7).cast("int")
+
+
+_SKETCHED = """registers AS (
+  SELECT CAST(ts AS DATE) AS day, CAST('0x' || substr(md5(user_id::VARCHAR), 1, 3) AS BIGINT) AS register,
+         max(CASE WHEN rest = 0 THEN 53 ELSE 53 - length(bin(rest)) END) AS zeros
+  FROM (SELECT ts, user_id, CAST('0x' || substr(md5(user_id::VARCHAR), 4, 13) AS BIGINT) AS rest FROM events WHERE user_id IS NOT NULL)
+  GROUP BY 1, 2),
+weekly AS (SELECT (day(day) - 1) // 7 AS week, register, max(zeros) AS zeros FROM registers GROUP BY 1, 2),
+estimates AS (
+  SELECT week, (0.7213 / (1 + 1.079 / 4096::DOUBLE)) * 4096 * 4096 / (sum(pow(2.0, -zeros)) + 4096 - count(*)) AS raw, count(*) AS used
+  FROM weekly GROUP BY week)"""
+
+
+@query(
+    "weekly_distinct_estimate",
+    _SKETCHED,
+    """SELECT CAST(week AS INTEGER) AS week, round(CASE WHEN raw <= 10240 AND used < 4096 THEN 4096 * ln(4096::DOUBLE / (4096 - used)) ELSE raw END, 3) AS n
+       FROM estimates""",
+)
+def weekly_distinct_estimate(spark, sf):
+    """Users of each week, estimated from the stored sketches of its days."""
+    days = store(S.distinct_sketch(_by_day(spark, sf), "user_id", ["day"]), "distinct-sketches")
+    found = S.distinct_estimate(days.withColumn("week", _week()), ["week"])
+    return found.select("week", F.round("n", 3).alias("n"))
+
+
+_STEP = "ln(1.01::DOUBLE / 0.99)"
+
+
+@query(
+    "weekly_quantile_estimate",
+    f"""buckets AS (
+  SELECT (day(ts) - 1) // 7 AS week, sign(value) AS side, CASE WHEN value = 0 THEN 0 ELSE ceil(ln(abs(value)) / {_STEP}) END AS bucket, count(*) AS n
+  FROM events WHERE value IS NOT NULL AND isfinite(value) GROUP BY 1, 2, 3),
+upto AS (
+  SELECT *, sum(n) OVER (PARTITION BY week ORDER BY side, side * bucket) AS upto, sum(n) OVER (PARTITION BY week) AS total FROM buckets),
+probs AS (SELECT unnest([0.05, 0.5, 0.95]) AS prob)""",
+    """SELECT CAST(week AS INTEGER) AS week, CAST(prob AS DOUBLE) AS prob,
+              round(side * 2 / (1.01::DOUBLE / 0.99 + 1) * pow(1.01::DOUBLE / 0.99, bucket), 6) AS value
+       FROM upto, probs WHERE upto >= greatest(ceil(prob * total), 1) AND upto - n < greatest(ceil(prob * total), 1)""",
+)
+def weekly_quantile_estimate(spark, sf):
+    """Quantiles of each week's values, from the stored sketches of its days."""
+    days = store(S.quantile_sketch(_by_day(spark, sf), "value", ["day"]), "quantile-sketches")
+    found = S.quantile_estimate(days.withColumn("week", _week()), [0.05, 0.5, 0.95], ["week"])
+    return found.select("week", "prob", r6("value"))
