@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from labelaudit.llm.frames import hidden, map_texts, shown
+from labelaudit.llm.frames import hidden, made_of, map_texts, shown
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -129,16 +129,21 @@ def production_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def measure(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``keep`` columns and the MEASURES of each text. The vocabulary's path is the same on all machines."""
-    vocabulary = vocabulary or production_vocabulary()
+def _measures(vocabulary: str | None) -> Callable[[list[bytes]], dict[str, list]]:
+    """The MEASURES of a list of texts. The vocabulary's path is the same on all machines."""
+    path = vocabulary or production_vocabulary()
     names = [part.split()[0] for part in MEASURES.split(", ")]
 
     def run(texts: list[bytes]) -> dict[str, list]:
-        rows = [(*base(t), *fertility(t.decode(), vocabulary)) for t in texts]
+        rows = [(*base(t), *fertility(t.decode(), path)) for t in texts]
         return dict(zip(names, map(list, zip(*rows)))) if rows else {n: [] for n in names}
 
-    return map_texts(docs, text, keep, MEASURES, run)
+    return run
+
+
+def measure(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """``keep`` columns and the MEASURES of each text."""
+    return map_texts(docs, text, keep, MEASURES, _measures(vocabulary))
 
 
 def band_of(lang: Column, text: Column) -> Column:
@@ -162,20 +167,23 @@ def _looked_up(band: Column, values: dict[str, float], default: float) -> Column
 def judge(measured: DataFrame, band: str) -> DataFrame:
     """Add base_failed and kept; ``band`` is a column made by :func:`band_of`."""
     bands = {**LANGUAGE_BANDS, **SCRIPT_BANDS}
-    low = _looked_up(F.col(band), {k: v[0] for k, v in bands.items()}, 0.0)
-    high = _looked_up(F.col(band), {k: v[1] for k, v in bands.items()}, 99.0)
-    share = _looked_up(F.col(band), MAX_BYTE_SHARE, DEFAULT_BYTE_SHARE)
-    entropy = _looked_up(F.col(band), SCRIPT_MIN_ENTROPY, MIN_ENTROPY)
     slack = F.lit(SLACK) / F.sqrt(F.greatest("n_tokens", F.lit(1)))
     failed = (F.col("n_words") < MIN_WORDS) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT
     )
-    inside = (
-        F.col("chars_per_token").between(low - slack, high + slack)
-        & (F.col("byte_share") <= share + slack)
-        & (F.col("entropy") >= entropy)
-    )
-    return measured.withColumns({"base_failed": failed, "kept": ~failed & inside})
+
+    def inside(own: Column) -> Column:
+        low = _looked_up(own, {k: v[0] for k, v in bands.items()}, 0.0)
+        high = _looked_up(own, {k: v[1] for k, v in bands.items()}, 99.0)
+        return (
+            F.col("chars_per_token").between(low - slack, high + slack)
+            & (F.col("byte_share") <= _looked_up(own, MAX_BYTE_SHARE, DEFAULT_BYTE_SHARE) + slack)
+            & (F.col("entropy") >= _looked_up(own, SCRIPT_MIN_ENTROPY, MIN_ENTROPY))
+        )
+
+    # a variable, so that the band of a text is found once however often it is compared
+    kept = ~failed & F.exists(F.array(band), inside)
+    return measured.withColumns({"base_failed": failed, "kept": kept})
 
 
 def score(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", **options) -> DataFrame:
@@ -184,8 +192,10 @@ def score(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lan
     return judge(measure(rows, [*keep, "_band"], text, **options), "_band").drop("_band")
 
 
-def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", **options) -> DataFrame:
-    """The documents kept, with their columns as they are."""
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str | None = None) -> DataFrame:
+    """The documents kept, with their columns as they are. Only the texts go through Python, and only verdicts come back."""
     rows, names = hidden(docs)
-    scored = score(rows, rows.columns, names[text], names[lang], **options)
+    made = made_of(rows[names[text]], MEASURES, _measures(vocabulary), done=tokenizer.cache_clear)
+    measured = rows.select("*", band_of(rows[names[lang]], rows[names[text]]).alias("_band"), made.alias("_made"))
+    scored = judge(measured.select("*", "_made.*"), "_band")
     return shown(scored.where("kept"), names)

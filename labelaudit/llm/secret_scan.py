@@ -22,7 +22,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, functions as F
 
 from labelaudit.llm import automata
-from labelaudit.llm.frames import hidden, map_texts, shown
+from labelaudit.llm.frames import hidden, made_of, map_texts, shown
 
 
 @dataclass(frozen=True)
@@ -180,9 +180,12 @@ def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     """The documents with the secret part of every span, overlaps joined, replaced by ``mark``."""
     rows, names = hidden(docs)
 
-    def clean(data: bytes) -> str:
+    def clean(data: bytes) -> str | None:
+        spans = scanner(rules).spans(data)
+        if not spans:
+            return None  # as it is
         line, out, at = data.decode(), [], 0
-        for start, end in _joined([(v, e) for _, _, e, v in scanner(rules).spans(data)]):
+        for start, end in _joined([(v, e) for _, _, e, v in spans]):
             out += [line[at:start], mark]
             at = end
         return "".join([*out, line[at:]])
@@ -190,9 +193,8 @@ def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     def run(texts: list[bytes]) -> dict[str, list]:
         return {"clean": [clean(t) for t in texts]}
 
-    made = map_texts(rows, names[text], list(rows.columns), "clean string", run)
-    cleaned = F.when(made[names[text]].isNotNull(), made["clean"])
-    return shown(made.withColumn(names[text], cleaned), names)
+    made = rows.withColumn("made", made_of(F.col(names[text]), "clean string", run))
+    return shown(made, names, F.coalesce(made["made.clean"], made[names[text]]).alias(text)).select(*docs.columns)
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
