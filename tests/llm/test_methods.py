@@ -163,7 +163,7 @@ def test_bpe_does_not_depend_on_what_is_remembered(monkeypatch):
     path, pattern = bpe.production()
     texts = [f"wordling{i} zyx{i * 7}qua bräunlich{i}" .encode() for i in range(300)]
     whole = bpe.Codec(path, pattern).encode(texts)
-    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2000)
     monkeypatch.setattr(bpe, "BLOCK_BYTES", 200)
     monkeypatch.setattr(bpe, "LONG", 6)
     assert bpe.Codec(path, pattern).encode(texts) == whole
@@ -308,3 +308,25 @@ def test_surrogates_keep_form_gender_and_script(spark):
     assert name[2] == name[4] != "Hall" and name[5].split("-")[0] in pii.GIVEN["f", "Cyrillic"]
     assert re.match(r"10\.\d+\.\d+\.\d+ 192\.168\.\d+\.\d+ SSN \d{3}-\d{2}-\d{4}$", c)
     assert pii.replace(docs, "other").orderBy("doc_id").first()["text"] != a
+
+
+def test_long_words_by_steps_of_all_places(monkeypatch):
+    """Words beyond the limit of the plain query, also with a few steps a query, and with hardly any memory of words."""
+    path, pattern = bpe.production()
+    codec = bpe.Codec(path, pattern)
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=codec.ranks, special_tokens={})
+    rng = random.Random(7)
+    parts = ["a", "b", "t", "h", "e", "th", "er", "in", "é", "日", "ing", "x", "zz", "aa"]
+    words = ["".join(rng.choices(parts, k=rng.randrange(1, 60))) for _ in range(150)]
+    words += ["a" * 3001, "=" * 700, "日本語" * 250, "".join(rng.choices("thean", k=900))]
+    want = [np.array(encoding.encode_ordinary(w), "<u4").tobytes() for w in words]
+    assert [codec._contract_long(w) for w in words] == want
+    monkeypatch.setattr(bpe, "BLOCK_ROWS", 2000)
+    assert [codec._contract_long(w) for w in words[:150]] == want[:150]
+    monkeypatch.setattr(bpe, "LONG", 8)
+    some = dict(list(zip(words, want))[:60])
+    assert codec._contract(list(some)) == some
+    few = bpe.Memory(2000)
+    for _ in range(2):
+        few.offer({w: b"1234" for w in words[:100]})
+    assert 0 < few.held <= 2000 and 0 < len(few.kept) < 10
