@@ -145,40 +145,56 @@ def turns_of(record, mapping: Mapping) -> list[tuple[int | None, str, str]]:
     return out
 
 
+def _read(line: str | None, key: str | None, index: dict[str, Mapping]) -> list[tuple]:
+    """Rows of a record: layout, fingerprint, group, turn, role, text, and why it has no layout."""
+    try:
+        value = None if line is None else json.loads(line)
+    except (ValueError, RecursionError):
+        return [(None, None, key, None, None, None, "no JSON")]
+    print_ = fingerprint(field_paths(value)) if isinstance(value, dict) else None
+    mapping = index.get(print_)
+    if mapping is None:
+        return [(None, print_, key, None, None, None, "unknown layout")]
+    group = _at(value, mapping.group) if mapping.group else None
+    group = key if group is None else _text(group)
+    turns = turns_of(value, mapping)
+    if not all(t is None or type(t) is int and -(1 << 63) <= t < 1 << 63 for t, _, _ in turns):
+        return [(None, print_, key, None, None, None, "turn is no whole number")]
+    try:
+        "".join([group or "", *(part for _, role, text in turns for part in (role, text))]).encode()
+    except UnicodeEncodeError:
+        return [(None, print_, key, None, None, None, "text is no Unicode")]
+    return [(mapping.name, print_, group, t, role, text, None) for t, role, text in turns]
+
+
 def canonical_turns(records: DataFrame, record: str = "record", key: Column | None = None, mappings=MAPPINGS) -> DataFrame:
     """Turns of JSON records: layout, group, turn, role, text.
 
     ``group`` is the field that the mapping names, else ``key`` (of the row), as text.
-    Records of no known layout give a row with the layout missing.
+    Records of no known layout give a row with the layout missing, and so do records that
+    can't be read; ``reason`` says why: no JSON, text that is no Unicode (half of a
+    surrogate pair), or a turn that is no whole number of 64 bits.
     """
     key = F.lit(None).cast("string") if key is None else key.cast("string")
     rows = records.select(records[record].alias("_record"), key.alias("_key"))
-    names = ["layout", "fingerprint", "group", "turn", "role", "text"]
+    names = ["layout", "fingerprint", "group", "turn", "role", "text", "reason"]
     index = _index(mappings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for line, own in zip(batch.column("_record").to_pylist(), batch.column("_key").to_pylist()):
-                value = None if line is None else json.loads(line)
-                print_ = fingerprint(field_paths(value)) if isinstance(value, dict) else None
-                mapping = index.get(print_)
-                if mapping is None:
-                    out.append((None, print_, own, None, None, None))
-                    continue
-                group = _at(value, mapping.group) if mapping.group else None
-                group = own if group is None else str(group)
-                out += [(mapping.name, print_, group, t, role, text) for t, role, text in turns_of(value, mapping)]
+                out += _read(line, own, index)
             columns = list(zip(*out)) if out else [()] * len(names)
-            types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+            types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return rows.mapInArrow(run, "layout string, fingerprint string, group string, turn long, role string, text string")
+    return rows.mapInArrow(run, "layout string, fingerprint string, group string, turn long, role string, text string, reason string")
 
 
 def unmapped(turns: DataFrame) -> DataFrame:
-    """Fingerprints of the layouts that no mapping knows, and how many records have them."""
-    return turns.where("layout IS NULL").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("records"))
+    """Fingerprints of the records without a layout, why they have none, and how many they are."""
+    return turns.where("layout IS NULL").groupBy("fingerprint", "reason").agg(F.count(F.lit(1)).alias("records"))
 
 
 def escaped(text: Column, more: str = "") -> Column:
