@@ -159,11 +159,13 @@ def _anchor_table(rows: DataFrame) -> DataFrame:
 
 def _split_anchors(rows: DataFrame, hot: DataFrame, block: int) -> DataFrame:
     """Anchors of too common grams, one per block of offsets, keyed by what all its windows share."""
-    asked = hot.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "place")).alias("asked"))
-    given = rows.select("k1", "k2", "_text").join(asked.hint("shuffle_hash"), ["k1", "k2"])
+    # equal rows have equal anchors: the list of one of them is what each of them asks for
+    asked = hot.select("k1", "k2", "gram", "place").distinct()
+    asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "place")).alias("asked"))
+    given = rows.select("k1", "k2", "_text").join(asked.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "_text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             out = []
             for k1, k2, text, asked_ in zip(
                 batch.column("k1").to_pylist(), batch.column("k2").to_pylist(),
@@ -371,7 +373,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group:
     rows, names = hidden(docs)
     id_, text_ = F.col(names[doc_id]), F.col(names[text])
     whole = dict(rows.dtypes)[names[doc_id]] in ("bigint", "int", "smallint", "tinyint")
-    k1 = F.coalesce(id_.cast("long") if whole else F.xxhash64(id_), F.lit(0).cast("long"))
+    # a row without an id goes by its text, in 96 bits with k2
+    k1 = F.when(id_.isNull(), F.xxhash64(text_)).otherwise(id_.cast("long") if whole else F.xxhash64(id_))
     rows = rows.select("*", k1.alias("k1"), F.hash(id_, text_).alias("k2"), text_.alias("_text"))
     anchors = store(_anchor_table(rows), "anchors")
     members, kinds = [], []
