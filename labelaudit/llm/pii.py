@@ -30,6 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelaudit.llm.frames import hidden, shown
+from labelaudit.operators.assemble import salted_join
 from labelaudit.session import settle, store
 
 # Titles and given names by gender, in three scripts; syllables of surnames.
@@ -225,13 +226,14 @@ def surrogate(key: str) -> Column:
     kind, canon, attempt = F.col("kind"), F.col("canon"), F.col("attempt")
     digest = _digest(key, kind, canon, attempt.cast("string"))
     like = _like(canon, digest)
-    at = F.instr(canon, "@")
-    domain = F.substr(canon, at + 1)
-    top = F.substring_index(domain, ".", -1)
-    below = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
-    mail = F.concat(
-        _like(F.substr(canon, F.lit(1), at - 1), digest), F.lit("@"), _like(below, _digest(key, F.lit("domain"), domain)), top
-    )
+    # later draws are longer, so that there are always enough of them
+    longer = F.array_join(F.transform(F.sequence(F.lit(1), attempt), lambda i: _letter(_number(digest, i), "a", 26)), "")
+    longer = F.when(attempt > 0, longer).otherwise("")
+    local_part = F.substr(canon, F.lit(1), F.instr(canon, "@") - 1)
+    mail = F.concat(_like(local_part, digest), longer, F.lit("@"), F.col("domain"))
+    top = F.substring_index(canon, ".", -1)
+    below = F.substr(canon, F.lit(1), F.length(canon) - F.length(top) - 1)
+    domain = F.concat(_like(below, digest), longer, F.lit("."), top)
     octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(digest, i) % 254 + 1).cast("string"))
     local = F.regexp_extract(canon, r"^(10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)", 1)
     outside = F.array_join(octets, ".")
@@ -252,6 +254,7 @@ def surrogate(key: str) -> Column:
     return _chosen(
         [
             (kind == "mail", mail),
+            (kind == "domain", domain),
             (kind == "address", F.when(local == "", outside).otherwise(inside)),
             (kind == "address6", F.concat(F.lit("2001:db8:"), F.array_join(groups, ":"))),
             (kind == "phone", F.when(F.length(canon) == 10, area).otherwise(like)),
@@ -264,9 +267,8 @@ def surrogate(key: str) -> Column:
     )
 
 
-def surrogates(entities: DataFrame, key: str, draw=surrogate) -> DataFrame:
-    """One surrogate per distinct (kind, canon): kind, canon, surrogate; all distinct, none an entity."""
-    own = settle(entities.select("kind", "canon").distinct())
+def _drawn(own: DataFrame, key: str, draw) -> DataFrame:
+    """One surrogate per distinct (kind, canon) of ``own``: kind, canon, surrogate; all distinct, none an entity."""
     taken = own.select("kind", F.col("canon").alias("surrogate"))
     left, done, attempt = own, [], 0
     while not left.isEmpty():
@@ -278,7 +280,23 @@ def surrogates(entities: DataFrame, key: str, draw=surrogate) -> DataFrame:
         taken = taken.union(done[-1].select("kind", "surrogate"))
         left = settle(left.join(done[-1], ["kind", "canon"], "left_anti"))
         attempt += 1
-    return reduce(DataFrame.union, done) if done else own.withColumn("surrogate", F.col("canon"))
+    return reduce(DataFrame.union, done) if done else own.select("kind", "canon").withColumn("surrogate", F.col("canon"))
+
+
+def surrogates(entities: DataFrame, key: str, draw=surrogate) -> DataFrame:
+    """One surrogate per distinct (kind, canon): kind, canon, surrogate; all distinct, none an entity.
+
+    Domains of addresses are entities of their own: addresses of one domain stay together,
+    and those of two domains apart.
+    """
+    own = entities.select("kind", "canon").distinct()
+    own = settle(own.withColumn("_domain", F.when(F.col("kind") == "mail", F.substring_index("canon", "@", -1))))
+    domains = own.where("_domain IS NOT NULL").select(F.lit("domain").alias("kind"), F.col("_domain").alias("canon")).distinct()
+    domains = _drawn(settle(domains.withColumn("domain", F.lit(""))), key, draw)
+    known = domains.select(F.col("canon").alias("_domain"), F.col("surrogate").alias("domain"))
+    mails = salted_join(own.where("_domain IS NOT NULL"), known, "_domain", "canon")
+    rest = own.where("_domain IS NULL").withColumn("domain", F.lit(""))
+    return _drawn(settle(mails.drop("_domain").unionByName(rest.drop("_domain"))), key, draw)
 
 
 def _filled(raw: Column, digits: Column) -> Column:
@@ -319,6 +337,14 @@ def _written(kind: Column, raw: Column, new: Column) -> Column:
     )
 
 
+def _renamed(text: Column, person: Column) -> Column:
+    """``text`` with the bare surname replaced, as such and in capitals; surrogates are nobody's surname."""
+    for form in (lambda x: x, F.upper):
+        name = F.concat(F.lit(r"(?<![\p{L}\w])"), form(person["canon"]), F.lit(r"(?![\p{L}\w])"))
+        text = F.regexp_replace(text, name, form(person["surrogate"]))
+    return text
+
+
 def replace(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_id", count: str = "n_entities") -> DataFrame:
     """The documents with every entity replaced, and how many there were."""
     rows, names = hidden(docs)
@@ -333,8 +359,13 @@ def replace(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_id
     whole = parts.groupBy(*keys, "pos").agg(F.sort_array(F.collect_set("part"))["new"].alias("new"))
     whole = whole.select(*keys, F.struct("pos", F.array_join("new", " ").alias("new")).alias("m"))
     per_text = whole.groupBy(*keys).agg(F.sort_array(F.collect_list("m"))["new"].alias("_new"))
-    out = rows.join(per_text, keys, "left")
+    # a text's persons, by whose surnames alone it may go on
+    persons = joined.where(F.col("kind").startswith("surname ") & (F.length("canon") > 1))
+    persons = persons.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("canon", "surrogate"))).alias("_persons"))
+    out = rows.join(per_text, keys, "left").join(persons, keys, "left")
     gaps = F.split(body, ANY, -1)
+    none = F.array().cast("array<struct<canon:string,surrogate:string>>")
+    gaps = F.transform(gaps, lambda g: F.aggregate(F.coalesce("_persons", none), g, _renamed))
     mended = F.array_join(F.zip_with(gaps, F.concat("_new", F.array(F.lit(""))), lambda g, n: F.concat(g, n)), "")
     out = out.withColumn(names[text], F.when(F.col("_new").isNull(), body).otherwise(mended))
     return shown(out, names, F.coalesce(F.size("_new"), F.lit(0)).alias(count))
