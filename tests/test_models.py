@@ -139,3 +139,26 @@ def test_text_features_and_word_vectors(spark):
     assert X.text_features(df, model, "content").count() == 5
     vectors = X.fit_word_vectors(df, "content", dim=4, min_count=1)
     assert vectors.where(F.size("v") == 4).count() == 3
+
+
+@pytest.mark.parametrize("by", ["token", "slot"])
+def test_mean_pool_in_blocks_equals_the_join(spark, monkeypatch, by):
+    """More vectors than a task holds: texts move with their counts, never beside a vector for each token."""
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(f"w{j}" for j in rng.integers(0, 60, i % 40))) for i in range(80)] + [(90, None), (91, "zz"), (90, "w1")]
+    df = spark.createDataFrame(texts, "row_id long, content string")
+    name = (lambda i: f"w{i}") if by == "token" else (lambda i: i)
+    vectors = [(name(i), rng.normal(size=3).tolist()) for i in range(50)] + [(name(7), [1.0, 2.0, 3.0]), (name(8), None)]
+    vectors = spark.createDataFrame(vectors, f"token {'string' if by == 'token' else 'long'}, v array<double>")
+    key = {} if by == "token" else {"key": lambda t: F.regexp_extract(t, "([0-9]+)", 1).try_cast("bigint")}
+    want = {r.row_id: r.vector for r in X.mean_pool(df, "content", vectors, 3, **key).collect()}
+    for constant, value in {"POOL": 1, "BLOCK": 40, "TEAM": 100, "_SOME": 16}.items():
+        monkeypatch.setattr(X, constant, value)
+    pooled = X.mean_pool(df, "content", vectors, 3, **key)
+    got = {r.row_id: r.vector for r in pooled.collect()}
+    assert "FlatMapCoGroupsInArrow" in pooled._jdf.queryExecution().toString()
+    assert got.keys() == want.keys() and got[91] is None
+    for row, vector in want.items():
+        assert (vector is None) == (got[row] is None) and (vector is None or np.allclose(vector, got[row], atol=1e-12))
+    odd = vectors.union(spark.createDataFrame([(name(9), [1.0, None, 2.0])], vectors.schema))
+    assert "FlatMapCoGroupsInArrow" not in X.mean_pool(df, "content", odd, 3, **key)._jdf.queryExecution().toString()
