@@ -41,7 +41,8 @@ def fit_classifier(
     options = {}
     total = F.count(F.lit(1)).cast("double")
     if weights is not None:
-        rows = rows.join(weights.select(label, F.col("weight").alias("_w")), label, "left")
+        # a row per class goes to every task; the features would else be brought together by class
+        rows = rows.join(F.broadcast(weights.select(label, F.col("weight").alias("_w"))), label, "left")
         given = F.coalesce("_w", F.raise_error(F.lit("a class has no weight")).cast("double"))
         rows = rows.withColumn("weight", given).drop("_w")
         options["weightCol"] = "weight"

@@ -162,3 +162,17 @@ def test_mean_pool_in_blocks_equals_the_join(spark, monkeypatch, by):
         assert (vector is None) == (got[row] is None) and (vector is None or np.allclose(vector, got[row], atol=1e-12))
     odd = vectors.union(spark.createDataFrame([(name(9), [1.0, None, 2.0])], vectors.schema))
     assert "FlatMapCoGroupsInArrow" not in X.mean_pool(df, "content", odd, 3, **key)._jdf.queryExecution().toString()
+
+
+def test_features_are_not_brought_together_by_class(spark, monkeypatch):
+    """Two classes would be two tasks, each with half of all features."""
+    df, _, _ = frame(spark)
+    seen, fit = [], L.LogisticRegression.fit
+    monkeypatch.setattr(L.LogisticRegression, "fit", lambda self, rows: seen.append(rows) or fit(self, rows))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the sizes were not known to be small
+    try:
+        L.fit_classifier(df, weights=P.class_weights(df), max_iter=3)
+        assert "SortMergeJoin" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
