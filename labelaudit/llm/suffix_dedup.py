@@ -373,8 +373,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group:
     rows, names = hidden(docs)
     id_, text_ = F.col(names[doc_id]), F.col(names[text])
     whole = dict(rows.dtypes)[names[doc_id]] in ("bigint", "int", "smallint", "tinyint")
-    # a row without an id goes by its text, in 96 bits with k2
-    k1 = F.when(id_.isNull(), F.xxhash64(text_)).otherwise(id_.cast("long") if whole else F.xxhash64(id_))
+    # a row without an id goes by its text, in 96 bits with k2; not nullable, as a filter of missing keys
+    # in one of the two joins of texts would have them shuffled twice
+    k1 = F.coalesce(id_.cast("long") if whole else F.when(id_.isNotNull(), F.xxhash64(id_)), F.xxhash64(text_))
     rows = rows.select("*", k1.alias("k1"), F.hash(id_, text_).alias("k2"), text_.alias("_text"))
     anchors = store(_anchor_table(rows), "anchors")
     members, kinds = [], []

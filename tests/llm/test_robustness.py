@@ -71,3 +71,13 @@ def test_rows_without_an_id_are_told_apart(spark):
         rows = suffix_dedup.remove_repeats(docs, group=2).select(*columns).collect()
         out.append(sorted((r["text"] or "", r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in rows))
     assert out[0] == out[1] and sum(r[1] for r in out[0]) > 0
+
+
+def test_suffix_dedup_shuffles_texts_once(spark, tmp_path):
+    """Both joins of texts read the same shuffle, also where ids may be missing."""
+    passage = "".join(chr(97 + i * i % 23) for i in range(260))
+    rows = [(i, f"{i} " * 40 + passage) for i in range(20)] + [(None, passage)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    found = suffix_dedup.remove_repeats(spark.read.parquet(f"{tmp_path}/docs")).select("doc_id", "n_removed")
+    assert {r.n_removed for r in found.collect()} >= {260}
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
