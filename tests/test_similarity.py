@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -141,6 +142,36 @@ def test_similar_texts_of_nothing(spark):
         S.pairs(members, threshold=0)
 
 
+def test_sets_of_texts_stay_where_they_are(spark):
+    """What is shuffled is a small multiple of the sets: prefixes and buckets, and only the sets that are in a pair."""
+    rng = random.Random(4)
+    texts = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(500))) for i in range(400)]
+    df = spark.createDataFrame(texts + [(500, texts[0][1] + " end"), (501, texts[1][1])], "row_id long, t string").repartition(3)
+    folders = [Path(str(d)) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f: f.stat().st_size for d in folders for f in d.rglob("shuffle_*.data")}
+    before = files()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs, members = S.similar_texts(df, "t")
+        assert [(r.row_id, r.other) for r in pairs.collect()] == [(0, 500)]
+        assert {r.row_id: r.first for r in members.collect() if r.row_id > 400} == {500: 500, 501: 1}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = sum(n for f, n in files().items() if f not in before)
+    assert moved < 3 * 8 * 500 * 400, moved
+
+
+@pytest.mark.parametrize("room, buckets, part", [(2, 1 << 10, 4), (3, 2, 2048), (512, 64, 5)])
+def test_pairs_in_small_rooms_and_few_buckets(spark, room, buckets, part):
+    """Homes split into rooms, all shingles in full buckets, sets whose row is not among those that take part."""
+    texts = made_up(3)
+    df = spark.createDataFrame(list(texts.items()), "row_id long, t string").repartition(3)
+    sets, firsts, _ = S.distinct_sets(df, "t", width=3)
+    got = S.pairs(sets, 0.7, part, firsts, room, buckets).collect()
+    assert {(r.row_id, r.other): round(r.similarity, 9) for r in got} == similar(texts, 3, 0.7)[0]
+    assert len(got) == len({(r.row_id, r.other) for r in got})
+
+
 # --- density and order -------------------------------------------------------------------------
 
 
