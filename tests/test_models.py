@@ -176,3 +176,23 @@ def test_features_are_not_brought_together_by_class(spark, monkeypatch):
         assert "SortMergeJoin" not in seen[0]._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_classifier_scores_fits_until_it_converges(spark, tmp_path, monkeypatch):
+    """The fit was cut off after 100 iterations; 399 labelled texts of the given tables take 237."""
+    from labelaudit.plans import models as M
+
+    rng = np.random.default_rng(3)
+    texts = [(i, " ".join(f"w{j}" for j in rng.integers(0, 400, 30))) for i in range(240)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(rng.random() < 0.3), 0) for i in range(240)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, fit = [], L.LogisticRegression.fit
+
+    def spy(self, rows):
+        seen.append(fit(self, rows))
+        return seen[-1]
+
+    monkeypatch.setattr(L.LogisticRegression, "fit", spy)
+    assert M.classifier_scores(spark, str(tmp_path)).count() == 240
+    assert [m.getMaxIter() for m in seen] == [1000] and seen[0].summary.totalIterations < 1000
