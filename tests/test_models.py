@@ -196,3 +196,23 @@ def test_classifier_scores_fits_until_it_converges(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(L.LogisticRegression, "fit", spy)
     assert M.classifier_scores(spark, str(tmp_path)).count() == 240
     assert [m.getMaxIter() for m in seen] == [1000] and seen[0].summary.totalIterations < 1000
+
+
+def test_mean_pool_moves_neither_texts_nor_tokens(spark, monkeypatch):
+    """Only a sum for each text is shuffled; vectors come in pieces, texts in cuts, and ids come again or are missing."""
+    for constant, value in {"PIECE": 30, "WORDS": 7}.items():
+        monkeypatch.setattr(X, constant, value)
+    texts = [(1, "a b a"), (2, "c zz"), (1, "c"), (None, "a"), (3, None), (4, "zz"), (None, "b " * 20), (5, "a b c d e f " * 9)]
+    df = spark.createDataFrame(texts, "row_id long, content string")
+    given = {t: [float(i), 1.0, -i * 0.5] for i, t in enumerate("abcdefghijklmnopqrst")}
+    rows = [*given.items(), ("b", [4.0, 0.0, 0.0]), ("g", None), (None, [9.0, 9.0, 9.0])]
+    pooled = X.mean_pool(df, "content", spark.createDataFrame(rows, "token string, v array<float>"), 3)
+    plan = pooled._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    got = {r.row_id: r.vector for r in pooled.collect()}
+    want = {}
+    for row, text in texts:
+        want.setdefault(row, []).extend(v for t in (text or "").split() for k, v in rows if k == t and v)
+    assert got.keys() == want.keys()
+    for row, vectors in want.items():
+        assert got[row] is None if not vectors else np.allclose(got[row], np.mean(vectors, axis=0), atol=1e-12)
