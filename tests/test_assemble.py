@@ -104,3 +104,23 @@ def test_a_text_held_by_a_third_of_the_rows(spark):
     assert ids(A.dedupe(df, ["content"], "row_id")) == [i for i in range(3000) if i % 3 or i == 0]
     plan = A.duplicate_members(df, ["content"])._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_key_r" in plan or "_salt_r" in plan
+
+
+def test_salted_join_repeats_only_keys_of_many_rows(spark, monkeypatch):
+    """Every key was repeated 64 times, which a broadcast of a small table made 64 times its size."""
+    from labelaudit.operators import assemble as A
+
+    monkeypatch.setattr(A, "SLICE", 10)
+    left = spark.createDataFrame([(i, "a" if i < 55 else f"k{i}") for i in range(70)] + [(70, None)], "row_id long, key string")
+    right = spark.createDataFrame([("a", 1), ("k60", 2), ("k61", 3), (None, 4), ("gone", 5)], "key string, n long")
+    joined = A.salted_join(left, right, "key", "row_id")
+    assert {(r.row_id, r.n) for r in joined.collect()} == {(i, 1) for i in range(55)} | {(60, 2), (61, 3), (70, 4)}
+    anti = A.salted_join(left, right, "key", "row_id", "left_anti")
+    assert {r.row_id for r in anti.collect()} == {i for i in range(55, 70)} - {60, 61}
+    sides = []
+    frame = type(right)
+    join = frame.join
+    monkeypatch.setattr(frame, "join", lambda self, other, *a, **b: sides.append(other) or join(self, other, *a, **b))
+    A.salted_join(left, right, "key", "row_id")
+    # 6 slices of "a", one of each other key
+    assert sides[-1].count() == 6 + 4
