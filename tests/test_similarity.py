@@ -205,3 +205,16 @@ def test_order_of_like_rows(spark):
     mixed = D.order_check(near, df.withColumn("o", F.md5(F.col("row_id").cast("string"))), "o").first()
     assert sorted_["n"] == 480 and sorted_["p_value"] < 1e-6 < 0.01 < mixed["p_value"]
     assert tuple(D.order_check(near.limit(0), df, "row_id").first()) == (0, None, None)
+
+
+def test_a_query_moves_once_for_each_hall_of_buckets(spark, monkeypatch):
+    """Not once for each bucket: all 64 buckets are visited, in a few halls, and the answer is exact."""
+    ids, x = np.arange(200), np.random.default_rng(4).normal(size=(200, 5))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "row_id long, v array<double>")
+    monkeypatch.setattr(N, "HALL", 200)
+    index = L.build(df, "v", k=3, tables=1, bits=6, block=1)
+    assert 2 <= len(index.shares[0]) <= 6
+    met = L._met(index, L._unit_rows(df, "v", "row_id", 5), 4, 64, 1)
+    # at most k of each hall and query, where it was k of each bucket
+    assert met.count() <= 200 * 4 * int(index.shares[0].sum())
+    assert found(L.search(index, df, "v", 3, probes=64)) == brute(ids, x, 3)
